@@ -17,6 +17,18 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(spark, _table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from simloom.llm.line_dedup import op2_line_dedup as op
+
+    return op(_table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from simloom.llm.substring_dedup import op4_substring_dedup as op
+
+    return op(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from simloom.llm.decontaminate import op9_decontamination as op
 

@@ -1,5 +1,30 @@
 """DuckDB SQL for the contract's queries. The text columns are taken whole; null texts are empty."""
 
+op2_line_dedup = r"""
+WITH l AS (
+  SELECT doc_id, i, w[i] AS line, translate(trim(w[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents))),
+o AS (SELECT k, min(doc_id) AS owner FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT l.*, o.owner IS NOT NULL AND o.owner <> l.doc_id AS gone FROM l LEFT JOIN o USING (k))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+op4_substring_dedup = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+o AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+s AS (SELECT k, min(doc_id) AS owner FROM o GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+g AS (SELECT DISTINCT doc_id, j FROM (SELECT o.doc_id, unnest(range(o.i, o.i + 13)) AS j FROM o JOIN s USING (k) WHERE o.doc_id > s.owner)),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(a.kept, '')) AS kept_sha256
+FROM d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) n USING (doc_id)
+LEFT JOIN (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.j) AS kept FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.j = g.j WHERE g.j IS NULL GROUP BY x.doc_id) a USING (doc_id)
+"""
+
 op9_decontamination = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
