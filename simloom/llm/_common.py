@@ -40,10 +40,15 @@ def stored(df: DataFrame, path: str | None = None, mode: str = "errorifexists")
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bytes_of(df: DataFrame) -> int:
+    """The optimizer's estimate of df's size, or 0 if it has none (then it says 8 EB or some product of them)."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return estimate if estimate < 1 << 54 else 0
+
+
 def partitions_for(df: DataFrame, bytes_each: int = 128 << 20) -> int:
     """Partitions for a shuffle of df: the session's number, or more if df is estimated larger."""
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(estimate // bytes_each, 1_000_000))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), bytes_of(df) // bytes_each)
 
 
 def doc_key(id_col: str = "doc_id") -> Column:

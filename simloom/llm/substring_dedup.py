@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm._common import doc_key, partitions_for
+from simloom.llm._common import bytes_of, doc_key, partitions_for
 
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -181,7 +181,7 @@ def _numbered(dids: DataFrame, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(order, np.int64), np.array([ends[x] for x in order] + [1], np.int64)
 
 
-def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 13, block_bytes: int = 8 << 20, bucket_windows: int = 4 << 20) -> DataFrame:
+def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 13, block_bytes: int = 8 << 20, bucket_windows: int = 4 << 20, blocks: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, removed, kept) for each row of docs.
 
     removed: the maximal intervals of removed words, from (included) to (excluded). kept: the words
@@ -191,8 +191,8 @@ def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc_key(id_col).alias("did"), F.col(text_col).alias("text"))
     partitions = partitions_for(rows, 64 << 20)
-    n_bytes = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    blocks = max(partitions, n_bytes // block_bytes)
+    n_bytes = bytes_of(rows)
+    blocks = blocks or max(partitions, n_bytes // block_bytes)
     buckets = min(1 << 24, max(16, n_bytes // 3 // bucket_windows))
     ends, parts = _numbered(rows.select("did"), blocks)
     held = docs.sparkSession.sparkContext.broadcast((ends, parts))
