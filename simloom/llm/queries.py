@@ -23,12 +23,36 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(_table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from simloom.llm.secrets import op3_secrets as op
+
+    return op(_table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from simloom.llm.substring_dedup import op4_substring_dedup as op
 
     return op(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from simloom.llm.toxicity import op5_toxicity as op
+
+    return op(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from simloom.llm.url_filter import op6_url_filter as op
+
+    return op(_table(spark, sf_dir, "pages"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from simloom.llm.mixing import op8_mixing as op
+
+    return op(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from simloom.llm.decontaminate import op9_decontamination as op
 
