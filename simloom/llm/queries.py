@@ -47,6 +47,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(_table(spark, sf_dir, "pages"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from simloom.llm.quality_rules import op7_quality_rules as op
+
+    return op(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from simloom.llm.mixing import op8_mixing as op
 

@@ -181,7 +181,7 @@ def _numbered(dids: DataFrame, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(order, np.int64), np.array([ends[x] for x in order] + [1], np.int64)
 
 
-def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 13, block_bytes: int = 8 << 20, bucket_windows: int = 4 << 20, blocks: int | None = None) -> DataFrame:
+def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 13, block_bytes: int = 8 << 20, bucket_windows: int = 2 << 20, blocks: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, removed, kept) for each row of docs.
 
     removed: the maximal intervals of removed words, from (included) to (excluded). kept: the words
