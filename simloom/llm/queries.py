@@ -65,6 +65,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from simloom.llm.jaccard_join import op10_jaccard_join as op
+
+    return op(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
