@@ -3,8 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-os.environ["PYTHONPATH"] = os.path.dirname(os.path.dirname(os.path.abspath(__file__))) + ":" + os.environ.get("PYTHONPATH", "")
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests", "llm")]
+os.environ["PYTHONPATH"] = ROOT + ":" + os.path.join(ROOT, "tests", "llm") + ":" + os.environ.get("PYTHONPATH", "")
 
 
 @pytest.fixture(scope="session")
