@@ -168,7 +168,7 @@ _PIECE = re.compile(rf"{_ONE}| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE
 #: A piece that the pattern leaves whole, so that the merges can be asked for directly.
 _WHOLE = re.compile(rf" ?(?:[{_LETTER}]+|[{_MARK}]+)")
 _BLANK_EDGE = re.compile(rf"\A[{_SPACE}]|[{_SPACE}]\Z")
-_CACHE_ENTRIES, _CACHE_CHARS = 400_000, 40
+_WORD_ENTRIES, _PIECE_ENTRIES, _CACHE_CHARS = 500_000, 1_200_000, 40
 
 
 class _Unsafe(Exception):
@@ -192,9 +192,9 @@ class _Pieces(dict):
             ids = [x.id for x in self.merge(piece.translate(self.table))]
         else:
             ids = self.encode(piece, add_special_tokens=False).ids
-        data = np.array(ids, "<u4").tobytes()
+        data = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= _CACHE_CHARS:
-            if len(self) >= _CACHE_ENTRIES:
+            if len(self) >= _PIECE_ENTRIES:
                 self.clear()
             self[piece] = data
         return data
@@ -210,9 +210,10 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if not word or _BLANK_EDGE.search(word):
             raise _Unsafe
-        data = b"".join(map(self.parts.__getitem__, _PIECE.findall(" " + word)))
+        spaced = " " + word
+        data = self.parts[spaced] if _WHOLE.fullmatch(word) else b"".join(map(self.parts.__getitem__, _PIECE.findall(spaced)))
         if len(word) <= _CACHE_CHARS:
-            if len(self) >= _CACHE_ENTRIES:
+            if len(self) >= _WORD_ENTRIES:
                 self.clear()
             self[word] = data
         return data
