@@ -1 +1 @@
-
+"""Operators on record, edge, feature and candidate tables."""

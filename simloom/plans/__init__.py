@@ -1 +1 @@
-
+"""Settings, parameter grids, the command line and the pipeline's modes."""

@@ -1 +1 @@
-
+"""Readers and writers: records, saved graphs, results."""

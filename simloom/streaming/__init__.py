@@ -1 +1 @@
-
+"""The engine is a batch one: whole inputs, no late data, no state between runs. Nothing is here."""
