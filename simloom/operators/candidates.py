@@ -76,6 +76,7 @@ def cosine_pairs(u: DataFrame, v: DataFrame, threshold: float, columns: list[str
         return slim.select(*keys, "ci", "cj", "nid", *(normalised(c).alias(f"c{i}") for i, c in enumerate(columns)))
 
     left, right = cut(u, "ci", "cj", u, v), cut(v, "cj", "ci", v, u)
+    right = right.toDF(*right.columns)  # new attributes: both sides may come from one table
     names = [f"cos_{i}" for i in range(len(columns))]
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

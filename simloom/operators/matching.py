@@ -42,7 +42,7 @@ def smm(pairs: DataFrame, k: int = 1000, max_rounds: int = 1000) -> DataFrame:
         if left.isEmpty():
             return _top(found if found is not None else left, k)
         now = stored(_mutual(left))
-        found = now if found is None else found.unionAll(now)
+        found = now if found is None else found.unionByName(now)
         left = stored(left.join(now.select("u"), "u", "left_anti").join(now.select("v"), "v", "left_anti"))
     raise RuntimeError("the matching didn't settle")
 

@@ -45,7 +45,7 @@ def encoded_nodes(records: DataFrame, column: str = "base64_bf", length: int = 1
     # the words are stored: later expressions would otherwise hold the whole decoding in each place that reads one
     rows = stored(dedup_count(rows, "key", "nid").select("nid", "key", "node_count", *bloom.decode(F.col("key"), length)))
     rows = rows.withColumn("bits", bloom.popcount(names))
-    return rows.select("nid", "key", "bits", qgram_estimate(F.col("bits"), length, hashes).alias("qgrams_count"), "node_count", *names)
+    return stored(rows.select("nid", "key", "bits", qgram_estimate(F.col("bits"), length, hashes).alias("qgrams_count"), "node_count", *names))
 
 
 def ground_truth(plain: DataFrame, encoded: DataFrame, rule: str = "kept") -> DataFrame:

@@ -297,7 +297,8 @@ def match_smm(spark, sf):
 
 
 def match_mwm(spark, sf):
-    return _matched(matching.mwm(scored(spark, sf), 100))
+    # a lower threshold, so that a matching of the whole smaller side exists
+    return _matched(matching.mwm(candidates.rescore(stored(candidates.cosine_pairs(*sides(spark, sf), 0.0).select("u", "v", "cos"))), 100))
 
 
 def _truth(spark, sf):
