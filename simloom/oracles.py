@@ -172,6 +172,9 @@ pairsof AS (SELECT unnest(us) AS u, unnest(vs) AS v FROM last)
 SELECT row_number() OVER (ORDER BY round(score, 12) DESC, u, v) AS rank, u, v, {r('score', 'score')} FROM pairsof JOIN scored USING (u, v) QUALIFY rank <= 100""",
     "true_matches": f"WITH {_SCORED}, {_BEST} SELECT sum((a.label = b.label)::INT)::BIGINT AS tp FROM best JOIN u a ON a.nid = best.u JOIN v b ON b.nid = best.v",
     "precision_at_k": f"WITH {_SCORED}, {_BEST} SELECT k::BIGINT AS k, count(*) FILTER (WHERE rank <= k AND a.label = b.label) AS tp, {r('count(*) FILTER (WHERE rank <= k AND a.label = b.label) / k', 'precision')} FROM best JOIN u a ON a.nid = best.u JOIN v b ON b.nid = best.v, (SELECT unnest({list(KS)}) AS k) GROUP BY k",
+    "result_sink": f"WITH {_SCORED}, {_BEST}, p AS (SELECT k, round(count(*) FILTER (WHERE rank <= k AND a.label = b.label) / k, 6) AS p FROM best JOIN u a ON a.nid = best.u JOIN v b ON b.nid = best.v, (SELECT unnest({list(KS)}) AS k) GROUP BY k) SELECT 'part' AS file, 'c0' AS dataset, "
+    + ", ".join(f"max(p) FILTER (WHERE k = {k}) AS precision_{k}" for k in KS)
+    + " FROM p, range(2) AS t(x) GROUP BY x",
     "graph_store": f"WITH RECURSIVE {_edges()}, {_COMPONENTS} SELECT src, dst, {_ROUNDED} FROM edges JOIN sized ON nid = src WHERE comp_size >= 3",
 }
 
