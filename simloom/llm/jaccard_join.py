@@ -155,7 +155,7 @@ def confirm(sets: list[np.ndarray], pairs: np.ndarray, threshold: float) -> np.n
         place[shared] = np.arange(len(shared))
         row, col = np.repeat(np.arange(n), sizes), place[at]
         common = np.zeros((n, n), np.float32)
-        step = max(1, (32 << 20) // n)
+        step = max(1, (4 << 20) // n)
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
         for a in range(0, len(shared), step):
@@ -226,7 +226,7 @@ def with_sets(docs: DataFrame, size: int, columns: list[Column], what: str, toke
     rows = docs.select(F.struct(*columns).alias("own"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1024, 1 << 20):
+        for batch in pieces(batches, 512, 1 << 19):
             values, starts = shingles(batch.column(1).to_pylist(), size)
             f1, f2 = fingerprints(values, starts)
             arrays = [batch.column(0), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(np.diff(starts).astype(np.int64))]
