@@ -260,7 +260,8 @@ def leaves_of(records: DataFrame, threshold: float, runs: int, depth: int, small
     found, rows = None, roots_
     for level in range(1, depth + 1):
         nodes = stored(rows.mapInArrow(split, "leaf long, did long, fp long"))
-        counts = nodes.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
+        # stored, so that the join has an exchange on either side, whose large partitions Spark can split
+        counts = stored(nodes.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"))
         known = stored(nodes.join(counts, "leaf"))
         here = known if level == depth else known.where(F.col("n") <= small)
         found = here if found is None else found.unionByName(here)
