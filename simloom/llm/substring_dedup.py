@@ -81,7 +81,7 @@ def window_hashes(words: np.ndarray, size: int, k: int) -> np.ndarray:
 class Block:
     """The windows of some documents in ascending id order, sorted by bucket and key."""
 
-    def __init__(self, dids: list[int], texts: list[str | None], size: int, buckets: int, piece: int = 2 << 20):
+    def __init__(self, dids: list[int], texts: list[str | None], size: int, buckets: int, piece: int = 1 << 19):
         order = np.argsort(np.array(dids, np.int64), kind="stable")
         self.size, self.order = size, order
         self.texts = [(texts[i] or "").encode("utf-8", "surrogatepass") for i in order]
