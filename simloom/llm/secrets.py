@@ -39,6 +39,8 @@ WORDS = """password 123456 qwerty admin welcome letmein monkey dragon master log
 sunshine iloveyou shadow superman batman trustno1 hello freedom whatever secret summer winter spring autumn love
 money access flower cheese computer internet test guest user root default changeme pass server system service
 example sample demo dummy placeholder your the my key token api public private local host prod dev stage""".split()
+#: Letters of one case look like a word that no list has; ten random ones cost about this much.
+ONE_CASE = 14.0
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 _LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("013457@$!", "oieastasi")
@@ -131,8 +133,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def one_case(value: str) -> bool:
+    """Are these letters alone, all small but for the first, or all capitals?"""
+    return value.isalpha() and (value[1:] == value[1:].lower() or value == value.upper())
+
+
 def guessed_spans(text: str, base: list[tuple[int, int, int]], cost: float) -> list[tuple[int, int, int]]:
-    """Values in credential contexts that no base span touches and that cost at least 10**cost guesses."""
+    """Values in credential contexts that no base span touches and that cost at least 10**cost guesses.
+
+    Letters of one case, which may be a word of prose, must cost 10**ONE_CASE at least.
+    """
     found = {(m.start(1), 3, m.end(1)) for context in CONTEXTS for m in context.finditer(text)}
     out: list[tuple[int, int, int]] = []
     for a, kind, b in sorted(found):
@@ -141,8 +151,7 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]], cost: float) -> l
         if any(x < b and a < y for x, _, y in base) or out and a < out[-1][2]:
             continue
         value = text[a:b]
-        # letters alone are prose unless nothing in them can be guessed
-        if len(value) >= 6 and not value.isalpha() and guess_cost(value)[0] >= cost:
+        if len(value) >= 6 and guess_cost(value)[0] >= (max(cost, ONE_CASE) if one_case(value) else cost):
             out.append((a, kind, b))
     return out
 

@@ -78,3 +78,14 @@ def test_the_programme_finds_the_minimum():
         return best
 
     assert abs(s.guess_cost(value)[0] - cost(value)) < 1e-9
+
+
+def found_in(text):
+    return [text[a:b] for a, _, b in s.guessed_spans(text, s.base_spans(text), 9.0)]
+
+
+def test_letters_alone_are_judged_by_cost():
+    for value in ("qZxWvKjHpLmNbTrC", "zqxwvkjhpfmcbtrg", "ZQXWVKJHPFMCBTRG"):
+        assert found_in(f"The passphrase is {value}.") == [value]
+        assert found_in(f"pwd: {value}") == [value]
+    assert found_in("the password is required, the secret is Placeholder and pwd: changeme") == []
