@@ -32,7 +32,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CONTEXTS = (
     re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[ _-]?key|credentials?|access[ _-]?key)["']?\s{0,4}(?:is|are|was|[:=]>?|->)\s{0,4}["'`]?([^\s"'`,;<>]{6,})""", re.I | re.A),
     re.compile(r"""(?:bearer|basic)\x20+([A-Za-z0-9+/_.=~-]{12,})""", re.I | re.A),
-    re.compile(r"""://[^\s/:@]{1,64}:([^\s/@]{6,128})@"""),
+    # user and password of any length, the user may be missing; linear, as neither goes beyond a slash
+    re.compile(r"""://[^\s/:@]*:([^\s/@]{6,})@"""),
 )
 #: Frequent passwords and words in them, the most frequent first.
 WORDS = """password 123456 qwerty admin welcome letmein monkey dragon master login princess abc123 football baseball

@@ -89,3 +89,11 @@ def test_letters_alone_are_judged_by_cost():
         assert found_in(f"The passphrase is {value}.") == [value]
         assert found_in(f"pwd: {value}") == [value]
     assert found_in("the password is required, the secret is Placeholder and pwd: changeme") == []
+
+
+def test_passwords_of_urls_have_any_length_and_need_no_user():
+    value = "xK9mQ2vL7p"
+    for password in (value, (value * 13)[:128], (value * 13)[:129], value * 20_000):
+        for user in ("", "bob", "u" * 64, "u" * 65, "u" * 100_000):
+            assert found_in(f"see redis://{user}:{password}@host/0") == [password]
+    assert found_in("://" + "a:" * 200_000) == found_in("://:" * 200_000) == []
