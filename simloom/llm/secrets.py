@@ -4,7 +4,8 @@ The patterns find assignments, access keys and long hexadecimal runs. Beyond the
 stands in a credential context (after words such as `passphrase`, `pwd is`, `Authorization: Bearer`,
 or as the password of a URL) is a secret if it is hard to guess. The cost of guessing is the least,
 over all ways of cutting the value into segments, of the product of the segments' guesses: common
-words by rank (capitals and letter-like digits cost a factor), dates and years, repeats, alphabetic
+words by rank (capitals and letter-like digits cost a factor; words are those of the corpus itself,
+by the number of documents that have them, and a list of frequent passwords), dates and years, repeats, alphabetic
 or numeric sequences, keyboard walks, and brute force by character class. A dynamic programme finds
 that minimum in time linear in the value's length.
 """
@@ -14,13 +15,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm._common import batch_of, pieces
+from simloom.llm._common import batch_of, pieces, stored
 
 #: Kinds in the order in which spans of one start are listed; the last is the method's own.
 KINDS = ("assign", "access", "hex", "guess")
@@ -35,19 +38,43 @@ CONTEXTS = (
     # user and password of any length, the user may be missing; linear, as neither goes beyond a slash
     re.compile(r"""://[^\s/:@]*:([^\s/@]{6,})@"""),
 )
-#: Frequent passwords and words in them, the most frequent first.
+#: Frequent passwords and words in them, the most frequent first, then what prose says of credentials.
 WORDS = """password 123456 qwerty admin welcome letmein monkey dragon master login princess abc123 football baseball
 sunshine iloveyou shadow superman batman trustno1 hello freedom whatever secret summer winter spring autumn love
 money access flower cheese computer internet test guest user root default changeme pass server system service
-example sample demo dummy placeholder your the my key token api public private local host prod dev stage""".split()
+example sample demo dummy placeholder your the my key token api public private local host prod dev stage
+not case sensitive required optional invalid valid incorrect wrong correct missing expired empty unknown hidden encrypted hashed
+encoded protected stored shared generated provided entered changed forgotten unique random strong weak secure temporary never always""".split()
 #: Letters of one case look like a word that no list has; ten random ones cost about this much.
 ONE_CASE = 14.0
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+#: A word of the corpus is in so many documents, and in one of so many.
+LEAST, SHARE = 3, 5000
+#: Letters between bounds; those beside digits or underscores are parts of names and keys.
+_WORD = re.compile(r"\b[^\W\d_]{2,}\b")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 
 
+class Words:
+    """Ranks of words, those of the fixed list included, and the sizes that occur."""
+
+    def __init__(self, ranked: list[str] = ()) -> None:
+        self.ranked = ranked
+
+    @cached_property
+    def ranks(self) -> dict[str, int]:
+        out = {w: i + 1 for i, w in enumerate(self.ranked)}
+        return out | {w: min(i, out.get(w, i)) for w, i in _RANK.items()}
+
+    @cached_property
+    def sizes(self) -> list[int]:
+        return sorted({len(w) for w in self.ranks})
+
+
+FIXED = Words()
+
+
 def _neighbours() -> dict[str, set[str]]:
     """Keys that touch on a keyboard whose rows are shifted by half a key."""
     place = {c: (x + 0.5 * y, y) for y, row in enumerate(_ROWS) for x, c in enumerate(row, start=y > 0)}
@@ -70,12 +97,12 @@ def _runs(text: str, joined) -> list[int]:
     return out
 
 
-def segments(value: str) -> list[tuple[str, int, int]]:
+def segments(value: str, words: Words = FIXED) -> list[tuple[str, int, int]]:
     """The cheapest segmentation: (kind, start, end) in order."""
-    return guess_cost(value)[1]
+    return guess_cost(value, words)[1]
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_cost(value: str, words: Words = FIXED) -> tuple[float, list[tuple[str, int, int]]]:
     """The decimal logarithm of the guesses that the cheapest segmentation needs, and that segmentation."""
     n, low = len(value), value.lower()
     if len(low) != n:  # a few letters change length when lower-cased
@@ -99,11 +126,12 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
 
     for b in range(1, n + 1):
         offer("brute", b - 1, b, _brute(value[b - 1]))
-        for size in range(3, min(_LONGEST, b) + 1):
-            a = b - size
-            if (rank := _RANK.get(low[a:b])) is not None:
+        for size in words.sizes:
+            if (a := b - size) < 0:
+                break
+            if (rank := words.ranks.get(low[a:b])) is not None:
                 offer("word", a, b, math.log10(rank) + (0 if value[a:b] == low[a:b] else math.log10(2)))
-            elif (rank := _RANK.get(plain[a:b])) is not None:
+            elif (rank := words.ranks.get(plain[a:b])) is not None:
                 offer("word", a, b, math.log10(rank) + math.log10(4))
         for a in dates.get(b, ()):
             offer("date", a, b, math.log10(120 if b - a == 4 else 365 * 120))
@@ -139,7 +167,7 @@ def one_case(value: str) -> bool:
     return value.isalpha() and (value[1:] == value[1:].lower() or value == value.upper())
 
 
-def guessed_spans(text: str, base: list[tuple[int, int, int]], cost: float) -> list[tuple[int, int, int]]:
+def guessed_spans(text: str, base: list[tuple[int, int, int]], cost: float, words: Words = FIXED) -> list[tuple[int, int, int]]:
     """Values in credential contexts that no base span touches and that cost at least 10**cost guesses.
 
     Letters of one case, which may be a word of prose, must cost 10**ONE_CASE at least.
@@ -152,7 +180,7 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]], cost: float) -> l
         if any(x < b and a < y for x, _, y in base) or out and a < out[-1][2]:
             continue
         value = text[a:b]
-        if len(value) >= 6 and guess_cost(value)[0] >= (max(cost, ONE_CASE) if one_case(value) else cost):
+        if len(value) >= 6 and guess_cost(value, words)[0] >= (max(cost, ONE_CASE) if one_case(value) else cost):
             out.append((a, kind, b))
     return out
 
@@ -161,6 +189,44 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def words_in(text: str) -> set[str]:
+    """The words of a text, lower-cased, without those in values of credentials: a secret that is copied is no word."""
+    held = sorted({m.span(m.re.groups) for pattern in (ASSIGN, *CONTEXTS) for m in pattern.finditer(text)})
+    if held:
+        parts, at = [], 0
+        for a, b in held:
+            parts.append(text[at : max(a, at)])
+            at = max(at, b)
+        text = " ".join([*parts, text[at:]])
+    return set(_WORD.findall(text.lower()))
+
+
+def corpus_words(rows: DataFrame, least: int = LEAST, share: int = SHARE) -> Words:
+    """The words in at least `least` documents and one in `share` of all, the most frequent first. rows has text.
+
+    One in `share` keeps at most `share` times as many words as a document has on average. Counts of
+    a task leave it as a row for each word, early if there are many.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+        for batch in pieces(batches):
+            for text in batch.column(0).to_pylist():
+                counts.update(words_in(text or ""))
+                counts[""] += 1  # all documents
+            if len(counts) > 500_000:
+                yield batch_of(schema, list(counts.items()))
+                counts.clear()
+        yield batch_of(schema, list(counts.items()))
+
+    counted = stored(rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counted.where("word = ''").first()
+    found = counted.where((F.col("word") != "") & (F.col("n") >= max(least, -(-(total.n if total else 0) // share)))).toArrow()
+    pairs = sorted(zip(found["n"].to_pylist(), found["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
+    return Words([w for _, w in pairs])
+
+
 _OUT = pa.schema(
     [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_guess", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())]
 )
@@ -170,18 +236,20 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cos
     """(doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans) with a row for each row of docs.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind. A null text is
-    empty. Each row is scanned by itself, whole, in one pass without a shuffle; an empty table gives
-    no rows.
+    empty. A first pass counts the corpus's words, which are broadcast; then each row is scanned by
+    itself, whole, without a shuffle. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast(corpus_words(rows).ranked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(held.value)
         for batch in pieces(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                own = guessed_spans(text, base, cost)
+                own = guessed_spans(text, base, cost, words)
                 count = [sum(k == i for _, k, _ in base) for i in range(3)]
                 out.append((*count, len(own), hashlib.sha256(shown(base).encode()).hexdigest(), shown(sorted(base + own))))
             found = batch_of(_OUT, out)

@@ -97,3 +97,20 @@ def test_passwords_of_urls_have_any_length_and_need_no_user():
         for user in ("", "bob", "u" * 64, "u" * 65, "u" * 100_000):
             assert found_in(f"see redis://{user}:{password}@host/0") == [password]
     assert found_in("://" + "a:" * 200_000) == found_in("://:" * 200_000) == []
+
+
+def test_words_of_the_corpus_are_cheap_and_secrets_are_no_words(spark):
+    assert found_in("The password is case-sensitive.") == [] and s.segments("my")[0][0] == "word"
+    told = "Zufallsgenerator und Schreibtischlampe."
+    prose = "The password is zufallsgenerator-schreibtischlampe, not more."
+    copied = ["The pwd: qZxWvKjHpLmNbTrC is old, secret='zqxwvkjhpfmcbtrg', my token is vbQwXkzj-PmZrTqLk."] * 5
+    texts = [told] * 4 + [prose, None, ""] + copied
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = s.corpus_words(docs)
+    assert words.ranked[0] == "is" and {"zufallsgenerator", "old"} < set(words.ranked)
+    assert not {w for w in words.ranked if w.startswith(("qzx", "zqx", "vbq", "pmz"))}
+    got = {x.doc_id: x for x in s.scan(docs).collect()}
+    assert found_in(prose) and got[4].n_guess == 0
+    assert [(got[i].n_assign, got[i].n_guess) for i in range(7, 12)] == [(1, 2)] * 5
+    assert len(s.corpus_words(docs, share=2).ranked) < len(words.ranked)
+    assert s.corpus_words(docs.limit(0)).ranked == [] and s.scan(docs.limit(0)).count() == 0
