@@ -90,10 +90,13 @@ def _brute(c: str) -> float:
 
 
 def _runs(text: str, joined) -> list[int]:
-    """For each position, where the run that holds it starts; joined(i): does i go on with the run of i - 1."""
+    """For each position, where the longest run that ends there starts; joined(i, a): does i go on with the run from a.
+
+    A run that can't go on may leave its last character to the next one: joined(i, i - 1).
+    """
     out = [0] * len(text)
     for i in range(1, len(text)):
-        out[i] = out[i - 1] if joined(i, out[i - 1]) else i
+        out[i] = out[i - 1] if joined(i, out[i - 1]) else i - 1 if joined(i, i - 1) else i
     return out
 
 
@@ -115,17 +118,35 @@ def guess_cost(value: str, words: Words = FIXED) -> tuple[float, list[tuple[str,
     dates: dict[int, list[int]] = {}
     for i in range(n):
         if low[i].isdigit() and (m := _DATE.match(low, i)):
-            dates.setdefault(m.end(), []).append(i)
-    best, back = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
+            for end in {m.end(), i + 4} if low[i : i + 2] in ("19", "20") and low[i : i + 4].isdigit() else {m.end()}:
+                dates.setdefault(end, []).append(i)  # a date's year is one by itself too
+    # states of a prefix: 0, it ends in another kind; 1, it ends in brute force, which may go on as one segment
+    best = [[math.inf] * (n + 1) for _ in range(2)]
+    back = [[("", 0, 0)] * (n + 1) for _ in range(2)]
+    best[0][0] = 0.0
+
+    def before(a: int) -> tuple[float, int]:
+        """What the prefix up to a costs if a new segment follows, which doubles the ways to arrange them; its state."""
+        state = int(best[1][a] < best[0][a])
+        return best[state][a] + (math.log10(2) if a else 0), state
 
     def offer(kind: str, a: int, b: int, cost: float) -> None:
-        # another segment doubles the ways to arrange them; a run of brute force is one segment
-        total = best[a] + cost + (0 if not a or kind == back[a][0] == "brute" else math.log10(2))
-        if total < best[b]:
-            best[b], back[b] = total, (kind, a)
-
+        head, state = before(a)
+        if head + cost < best[0][b]:
+            best[0][b], back[0][b] = head + cost, (kind, a, state)
+
+    kinds = (
+        ("repeat", same, lambda a, k: _brute(low[a]) + math.log10(k)),
+        ("sequence", order, lambda a, k: math.log10(36) + math.log10(k)),
+        ("walk", walk, lambda a, k: math.log10(47) + (k - 1) * math.log10(2.2)),
+    )
+    # starts within the run that may still be cheapest; none of these costs grows faster with the length
+    # the longer the segment is, so a start that an earlier one has caught up with never leads again
+    starts: list[list[int]] = [[], [], []]
     for b in range(1, n + 1):
-        offer("brute", b - 1, b, _brute(value[b - 1]))
+        head, state = before(b - 1)
+        more = best[1][b - 1]
+        best[1][b], back[1][b] = min((head, state), (more, 1))[0] + _brute(value[b - 1]), ("brute", b - 1, 1 if more < head else state)
         for size in words.sizes:
             if (a := b - size) < 0:
                 break
@@ -135,23 +156,30 @@ def guess_cost(value: str, words: Words = FIXED) -> tuple[float, list[tuple[str,
                 offer("word", a, b, math.log10(rank) + math.log10(4))
         for a in dates.get(b, ()):
             offer("date", a, b, math.log10(120 if b - a == 4 else 365 * 120))
-        for kind, starts, cost in (
-            ("repeat", same, lambda a, k: _brute(low[a]) + math.log10(k)),
-            ("sequence", order, lambda a, k: math.log10(36) + math.log10(k)),
-            ("walk", walk, lambda a, k: math.log10(47) + (k - 1) * math.log10(2.2)),
-        ):
-            a = starts[b - 1]
-            if b - a >= 3:
-                offer(kind, a, b, cost(a, b - a))
+        for i, (kind, run, cost) in enumerate(kinds):
+            a = b - 3
+            if a < run[b - 1]:
+                starts[i] = []
+                continue
+            kept, least = [], math.inf
+            for start in (*starts[i], a):
+                total = before(start)[0] + cost(start, b - start)
+                if total < least:
+                    kept.append(start)
+                    least = total
+            starts[i] = kept[-1:] if kind == "walk" else kept  # a walk's cost is linear, so the lead stays
+            offer(kind, kept[-1], b, cost(kept[-1], b - kept[-1]))
     out, b = [], n
+    state = int(best[1][n] < best[0][n])
+    total = best[state][n]
     while b:
-        kind, a = back[b]
+        kind, a, state = back[state][b]
         if out and kind == "brute" and out[-1][0] == "brute":
             out[-1] = (kind, a, out[-1][2])
         else:
             out.append((kind, a, b))
         b = a
-    return best[n], out[::-1]
+    return total, out[::-1]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -114,3 +114,45 @@ def test_words_of_the_corpus_are_cheap_and_secrets_are_no_words(spark):
     assert [(got[i].n_assign, got[i].n_guess) for i in range(7, 12)] == [(1, 2)] * 5
     assert len(s.corpus_words(docs, share=2).ranked) < len(words.ranked)
     assert s.corpus_words(docs.limit(0)).ranked == [] and s.scan(docs.limit(0)).count() == 0
+
+
+def test_the_minimum_with_runs_walks_and_dates_from_any_start():
+    import math
+    import random
+
+    words = s.Words(["sdf", "abc", "ab", "aa"])
+
+    def kinds(p):  # the cost of each kind that a segment can be
+        steps = {ord(b) - ord(a) for a, b in zip(p, p[1:])}
+        if p in words.ranks:
+            yield math.log10(words.ranks[p])
+        if s._DATE.fullmatch(p):
+            yield math.log10(120 if len(p) == 4 else 365 * 120)
+        if len(p) >= 3 and len(set(p)) == 1:
+            yield s._brute(p[0]) + math.log10(len(p))
+        if len(p) >= 3 and steps in ({1}, {-1}):
+            yield math.log10(36) + math.log10(len(p))
+        if len(p) >= 3 and all(b in s._NEAR.get(a, ()) for a, b in zip(p, p[1:])):
+            yield math.log10(47) + (len(p) - 1) * math.log10(2.2)
+
+    def least(text):
+        other, brute = [0.0] + [math.inf] * len(text), [math.inf] * (len(text) + 1)
+        for b in range(1, len(text) + 1):
+            for a in range(b):
+                glue = math.log10(2) if a else 0
+                brute[b] = min(brute[b], other[a] + glue + sum(map(s._brute, text[a:b])))
+                for cost in kinds(text[a:b]):
+                    other[b] = min(other[b], min(other[a], brute[a]) + glue + cost)
+        return min(other[-1], brute[-1])
+
+    assert s.guess_cost("passwordsdfghjk")[0] < 5
+    assert s.segments("passwordsdfghjk")[0] == ("word", 0, 8)
+    rng = random.Random(4)
+    parts = ["password", "dragon", "sdfghj", "rewq", "abcdef", "cba", "321", "123", "aaa", "111111", "2010", "1999", "7", "x", "k"]
+    for _ in range(1500):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+        cost, cuts = s.guess_cost(value, words)
+        assert abs(cost - least(value)) < 1e-9, value
+        assert [a for _, a, _ in cuts] == [0, *(b for _, _, b in cuts)][:-1] and cuts[-1][2] == len(value)
+    for value in ("a" * 200_000, "qw" * 100_000, "abc" * 50_000, "123456789" * 20_000):
+        assert s.guess_cost(value, words)[0] > 0  # linear: these end
