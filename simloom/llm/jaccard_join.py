@@ -9,7 +9,8 @@ form of CPSJoin): a node samples 1.25 tokens on average (one in threshold), by a
 path, and its records split by the values of each. Nodes of one record end, small nodes are leaves,
 large ones split again up to a depth. The expected number of nodes that a pair shares never falls
 with the depth if its similarity is at the threshold; how often a tree loses the pair nevertheless
-follows from the branching process, and runs are repeated until the target recall is met.
+follows from the branching process. All runs share the tokens, of which a pair agrees in a binomial
+number; runs are repeated until the mean over that number meets the target recall.
 
 Leaves are brute-forced. A leaf of any size is cut into chunks, and pairs of chunks are separate work
 for separate tasks. Of the leaves that a pair shares only one owns it, so that it is counted once
@@ -20,6 +21,7 @@ local component. Components come from alternating star contraction over those ed
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,19 +85,40 @@ def min_tokens(values: np.ndarray, starts: np.ndarray, tokens: int, seed: int) -
 # ---------------------------------------------------------------- paths
 
 
-def losses(threshold: float, depth: int) -> float:
-    """The chance that a pair at the threshold shares no node of a tree at `depth`."""
+def losses(threshold: float, depth: int, agree: float | None = None) -> float:
+    """The chance that a pair shares no node of a tree at `depth`, if it agrees in that part of its tokens (the threshold)."""
+    agree = threshold if agree is None else agree
     extra = 1 / threshold - 1
     lost = 0.0
     for _ in range(depth):
-        one = 1 - threshold + threshold * lost
+        one = 1 - agree + agree * lost
         lost = (1 - extra) * one + extra * one * one
     return lost
 
 
-def runs_for(threshold: float, depth: int, recall: float) -> int:
+def least_agreeing(threshold: float, tokens: int) -> int:
+    """Five standard deviations below the number of tokens that a pair at the threshold agrees in."""
+    return int(tokens * threshold - 5 * (tokens * threshold * (1 - threshold)) ** 0.5)
+
+
+def missed(threshold: float, depth: int, runs: int, tokens: int) -> float:
+    """The chance that a pair at the threshold is no candidate: the mean over the tokens that it agrees in."""
+    least, out = least_agreeing(threshold, tokens), 0.0
+    for x in range(tokens + 1):
+        ways = math.lgamma(tokens + 1) - math.lgamma(x + 1) - math.lgamma(tokens - x + 1)
+        chance = math.exp(ways + x * math.log(threshold) + (tokens - x) * math.log1p(-threshold)) if threshold < 1 else float(x == tokens)
+        out += chance * (losses(threshold, depth, x / tokens) ** runs if x >= least else 1.0)
+    return out
+
+
+def runs_for(threshold: float, depth: int, recall: float, tokens: int = 128) -> int:
     """Runs until a pair at the threshold is found with the target recall."""
-    return int(np.ceil(np.log(1 - recall) / np.log(losses(threshold, depth))))
+    if missed(threshold, depth, 10_000, tokens) > 1 - recall:
+        raise ValueError(f"{tokens} tokens are too few for a recall of {recall}")
+    runs = 1
+    while missed(threshold, depth, runs, tokens) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def children(paths: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -295,11 +318,10 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     every = stored(with_sets(base, size, [F.col("doc_id"), F.col("did")], "tokens", tokens, seed))
     records = every.where("n > 0").groupBy("f1", "f2").agg(F.min("did").alias("did"), F.count("*").alias("size"), F.first("tokens").alias("tokens"))
     records = stored(records.withColumnRenamed("f1", "fp"))
-    leaves = stored(leaves_of(records, threshold, runs_for(threshold, depth, recall), depth, small, tokens))
+    leaves = stored(leaves_of(records, threshold, runs_for(threshold, depth, recall, tokens), depth, small, tokens))
     lists = leaves.groupBy(*_NODE).agg(F.collect_list("leaf").alias("leaves"))
     sketched = records.select(*_NODE, "tokens").join(lists, _NODE)
-    # five standard deviations below what a pair at the threshold agrees in
-    least = int(tokens * threshold - 5 * (tokens * threshold * (1 - threshold)) ** 0.5)
+    least = least_agreeing(threshold, tokens)
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(x, pa.int64()) for x in (*_KEYS, *_NODE)] + [("bits", pa.binary())])

@@ -110,3 +110,26 @@ def test_confirm_agrees_with_sets():
     few[0, 1:9] = True
     want = np.array([[a < b and len(set(sets[a]) & set(sets[b])) >= 0.5 * len(set(sets[a]) | set(sets[b])) for b in range(30)] for a in range(30)])
     assert (j.confirm(sets, pairs, 0.5) == want).all() and (j.confirm(sets, few, 0.5) == (want & few)).all()
+
+
+def test_runs_meet_the_target_recall_over_drawn_agreement():
+    runs = j.runs_for(0.8, 4, 0.9999)
+    rng = np.random.default_rng(3)
+    share = rng.binomial(128, 0.8, 20_000) / 128
+    chances = {x: j.losses(0.8, 4, x) ** runs for x in set(share.tolist())}
+    assert np.mean([chances[x] for x in share.tolist()]) <= 1.2e-4
+    assert j.missed(0.8, 4, runs, 128) <= 1e-4 < j.missed(0.8, 4, runs - 1, 128)
+    with pytest.raises(ValueError):
+        j.runs_for(0.8, 4, 0.9999, tokens=4)
+    # few tokens spread widely; the agreement of each pair is drawn, then its trees are walked
+    few, recall, missed = 32, 0.95, 0
+    runs = j.runs_for(0.8, 4, recall, tokens=few)
+    for _ in range(2000):
+        a = rng.integers(0, 2**32, few, dtype=np.uint64).astype(np.uint32)
+        b = a ^ (rng.random(few) >= 0.8).astype(np.uint32)
+        nodes = [np.arange(1, runs + 1, dtype=np.uint64)] * 2
+        for _ in range(4):
+            nodes = [j.children(p, np.repeat(t[None], len(p), 0), 0.8)[1] for p, t in zip(nodes, (a, b))]
+            nodes = [np.intersect1d(*nodes)] * 2
+        missed += not len(nodes[0])
+    assert missed <= 2000 * (1 - recall) + 40
