@@ -2,9 +2,12 @@
 
 A rule rejects a document if one of its measures is above a cutoff. The cutoffs are not set by hand:
 for each stratum (language) the labelled holdout says how many good documents a cutoff would reject.
-A cutoff is valid if the exact binomial test rules out, at a level divided by the number of all tests
-(Bonferroni), that it rejects more than `risk` of good documents. Of the valid cutoffs of a measure
-the strictest is used. With probability `1 - level`, no rule of any stratum exceeds its risk.
+A document goes if any rule rejects it, so the risk is that of all rules together. A set of cutoffs,
+one or none for each measure, is valid if the exact binomial test rules out, at a level divided by the
+number of all such sets of all strata (Bonferroni), that together they reject more than `risk` of good
+documents. Each measure uses the strictest cutoff that rejects at most its equal part of the largest
+count with which a set is valid; together they reject no more than that count. With probability
+`1 - level`, the rules of no stratum reject more than `risk` of its good documents.
 
 Strata with fewer good labels than a two-hundredth of all share one stratum, so there are at most 201
 and their cutoffs, a few numbers each, can be broadcast.
@@ -117,10 +120,10 @@ def cutoffs(holdout: DataFrame, *, risk: float = 0.02, level: float = 0.05, grid
     homes = own.groupBy("home").agg(F.sum("n").alias("n"))
     counts = good.groupBy("stratum").agg(*(F.count(F.when(F.col(m) > c, 1)).alias(f"{m}/{i}") for m in MEASURES for i, c in enumerate(grid)))
     counts = counts.join(own.select("stratum", "home"), counts["stratum"].eqNullSafe(own["stratum"])).groupBy("home").agg(*(F.sum(f"`{m}/{i}`").alias(f"{m}/{i}") for m in MEASURES for i in range(len(grid))))
-    tests = F.count("*").over(Window.partitionBy()) * (len(MEASURES) * len(grid))
+    tests = F.count("*").over(Window.partitionBy()) * F.lit((len(grid) + 1.0) ** len(MEASURES))  # a measure may have no cutoff
     long = counts.join(homes, "home").withColumn("tests", tests)
     long = long.select("home", "n", "tests", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(float(c)).alias("cutoff"), F.col(f"`{m}/{i}`").alias("k")) for m in MEASURES for i, c in enumerate(grid)))).alias("t"))
-    valid = long.where(binomial_tail(F.col("t.k"), F.col("n"), risk) <= F.lit(level) / F.col("tests"))
+    valid = long.where(binomial_tail(F.col("t.k") * len(MEASURES), F.col("n"), risk) <= F.lit(level) / F.col("tests"))
     return valid.groupBy("home").agg(*(F.min(F.when(F.col("t.measure") == m, F.col("t.cutoff"))).alias(f"max_{m}") for m in MEASURES))
 
 

@@ -75,3 +75,14 @@ def test_empty_tables_and_no_python(spark, sf):
     assert all(x.kept != x.base_failed for x in q.op7_quality_rules(docs, known.limit(0)).collect())
     plan = q.op7_quality_rules(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_the_risk_is_that_of_all_measures_together(spark):
+    for share, strict in ((600, False), (120, True)):  # of 40,000 good documents each measure has its own
+        bad = [F.when((F.col("id") >= i * share) & (F.col("id") < (i + 1) * share), 0.5).otherwise(0.0).alias(m) for i, m in enumerate(q.MEASURES)]
+        holdout = spark.range(40_000).select(F.lit("en").alias("stratum"), F.lit(1).alias("quality"), *bad)
+        found = q.cutoffs(holdout).collect()
+        cut = {m: getattr(found[0], f"max_{m}") if found else None for m in q.MEASURES}
+        gone = sum(share for m in q.MEASURES if cut[m] is not None and cut[m] < 0.5)
+        assert gone <= 0.02 * 40_000
+        assert not strict or set(cut.values()) == {0.0}
