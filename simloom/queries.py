@@ -199,12 +199,19 @@ def _long(rows: DataFrame, column: str) -> DataFrame:
     return rows.select("nid", F.posexplode(column).alias("d", "x")).select("nid", F.col("d").cast("long").alias("d"), r("x"))
 
 
+def _largest(own: DataFrame, least: int) -> int:
+    """The largest degree, or `least` where none is larger: the SQL has bins for that, and no count is lost beyond it."""
+    return max(least, graph.degrees(own).agg(F.max("deg")).first()[0] or 0)
+
+
 def histo_1hop(spark, sf):
-    return _long(graph.one_hop_histogram(stored(edges(spark, sf, "p_name", "p_type")), 8), "h1")
+    own = stored(edges(spark, sf, "p_name", "p_type"))
+    return _long(graph.one_hop_histogram(own, graph.bin_count(_largest(own, 255))), "h1")
 
 
 def histo_2hop(spark, sf):
-    return _long(graph.two_hop_histogram(stored(edges(spark, sf, "p_name", "p_type")), 8), "h2")
+    own = stored(edges(spark, sf, "p_name", "p_type"))
+    return _long(graph.two_hop_histogram(own, graph.bin_count(_largest(own, 255))), "h2")
 
 
 def betweenness(spark, sf):
@@ -213,7 +220,8 @@ def betweenness(spark, sf):
 
 def features_all(spark, sf):
     nodes = plain(spark, sf)
-    return _long(graph.node_features(stored(graph.create_graph(edges(spark, sf))), nodes, "all", 7), "features")
+    own = stored(graph.create_graph(edges(spark, sf)))
+    return _long(graph.node_features(own, nodes, "all", _largest(own, 7)), "features")
 
 
 def _vectors(spark, sf) -> DataFrame:
