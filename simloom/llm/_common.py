@@ -2,43 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from simloom.scratch import batch_rows, drop, scope, scratch_folder, stored
+
+__all__ = ["BLANK", "NO_ID", "batch_of", "batch_rows", "bytes_of", "doc_key", "drop", "lower_ascii", "partitions_for", "pieces", "row_hash", "scope", "scratch_folder", "stored", "whole_text"]
 
 #: Documents without an id sort after all others and share this internal id.
 NO_ID = 2**63 - 1
 #: The ASCII white space that separates words in every contract of this subpackage.
 BLANK = " \t\n\x0b\x0c\r"
 
-_own_folder: str | None = None
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share.
-
-    It is the session's spark.checkpoint.dir. Only where that is unset, as in local tests, a
-    temporary folder of this machine takes its place.
-    """
-    global _own_folder
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        _own_folder = _own_folder or "file://" + tempfile.mkdtemp(prefix="simloom-")
-        base = _own_folder
-    return f"{base.rstrip('/')}/simloom-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, path: str | None = None, mode: str = "errorifexists") -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there."""
-    spark = df.sparkSession
-    path = path or scratch_folder(spark)
-    df.write.mode(mode).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def bytes_of(df: DataFrame) -> int:
     """The optimizer's estimate of df's size, or 0 if it has none (then it says 8 EB or some product of them)."""
@@ -64,6 +43,17 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _hashable(field: T.StructField) -> Column:
+    """The column, or its JSON where a map in it can't be hashed."""
+    own = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(own)) if "map<" in field.dataType.simpleString() or "variant" in field.dataType.simpleString() else own
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns, that tells nulls in different columns apart."""
+    return F.xxhash64(*(x for f in docs.schema for x in (_hashable(f), F.col(f"`{f.name}`").isNull())))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches of at most `rows` rows and, beyond one row, about `size` bytes."""
     for batch in batches:

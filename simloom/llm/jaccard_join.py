@@ -7,16 +7,21 @@ A set is embedded as `tokens` min-hash values, so that two sets share a token wi
 equals their similarity. A *run* is a tree of paths (Christiani and Pagh's chosen path, in the join
 form of CPSJoin): a node samples 1.25 tokens on average (one in threshold), by a hash of its own
 path, and its records split by the values of each. Nodes of one record end, small nodes are leaves,
-large ones split again up to a depth. The expected number of nodes that a pair shares never falls
-with the depth if its similarity is at the threshold; how often a tree loses the pair nevertheless
-follows from the branching process. All runs share the tokens, of which a pair agrees in a binomial
-number; runs are repeated until the mean over that number meets the target recall.
-
-Leaves are brute-forced. A leaf of any size is cut into chunks, and pairs of chunks are separate work
-for separate tasks. Of the leaves that a pair shares only one owns it, so that it is counted once
-without pairs ever leaving a task. Candidates (by their 128 tokens) are confirmed on whole shingle
-sets. What leaves a task is a row for each record: its links, and an edge towards the root of its
-local component. Components come from alternating star contraction over those edges.
+and so are those that keep at least the threshold's share of the node above: their records agree as
+often as linked ones do, and another split would only copy them. All others split again, so that a
+path's nodes shrink by the threshold at least and the depth follows from the data. The expected number
+of nodes that a pair shares never falls with the depth if its similarity is at the threshold; how
+often a tree loses the pair nevertheless follows from the branching process. All runs share the
+tokens, of which a pair agrees in a binomial number; runs are repeated until the mean over that number
+meets the target recall at the largest depth that occurred.
+
+Leaves are brute-forced. A leaf of any size is cut into chunks of bounded records and bytes, and pairs
+of chunks are separate work for separate tasks. Of the leaves that a pair shares only one owns it, so
+that it is counted once without pairs ever leaving a task. Candidates (by the low bytes of their 128
+tokens) are confirmed on whole shingle sets. What leaves a task is a row for each record: its links,
+and an edge towards the root of its local component. Components come from alternating star contraction
+over those edges. Texts and sets go to Python in small batches, and no other column of the documents
+ever does.
 """
 
 from __future__ import annotations
@@ -27,10 +32,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from simloom.llm._common import doc_key, partitions_for, pieces, stored
+from simloom.llm._common import batch_rows, doc_key, drop, partitions_for, pieces, row_hash, scope, stored
 from simloom.llm.substring_dedup import _mix, window_hashes, word_hashes
 
 _U = np.uint64
@@ -239,14 +243,17 @@ def _binary(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 _NODE = ["did", "fp"]
+#: Rows of an Arrow batch that hold texts, tokens or sets.
+_ROWS = 1024
 
 
 def with_sets(docs: DataFrame, size: int, columns: list[Column], what: str, tokens: int = 128, seed: int = 10) -> DataFrame:
-    """The given columns of docs and of each text: f1, f2, and its tokens or its set.
+    """The given columns of docs and of each text: f1, f2, n, and its tokens and their low bytes, or its set.
 
-    docs has text; what is "tokens", "set" or "" for the fingerprints alone.
+    docs has text; what is "tokens" or "set".
     """
     rows = docs.select(F.struct(*columns).alias("own"), F.col("text").cast("string").alias("text"))
+    names = ["tokens", "low"] if what == "tokens" else ["set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512, 1 << 19):
@@ -254,50 +261,64 @@ def with_sets(docs: DataFrame, size: int, columns: list[Column], what: str, toke
             f1, f2 = fingerprints(values, starts)
             arrays = [batch.column(0), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(np.diff(starts).astype(np.int64))]
             if what == "tokens":
-                arrays.append(pa.array([x.tobytes() for x in min_tokens(values, starts, tokens, seed)], pa.binary()))
-            elif what == "set":
+                found = min_tokens(values, starts, tokens, seed)
+                arrays += [pa.array([x.tobytes() for x in t], pa.binary()) for t in (found, found.astype(np.uint8))]
+            else:
                 arrays.append(pa.array([values[a:b].astype("<u8").tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary()))
-            yield pa.RecordBatch.from_arrays(arrays, names=["own", "f1", "f2", "n", what or "-"][: len(arrays)])
+            yield pa.RecordBatch.from_arrays(arrays, names=["own", "f1", "f2", "n", *names])
 
     kind = rows.schema["own"].dataType.simpleString()
-    return rows.mapInArrow(run, f"own {kind}, f1 long, f2 long, n long" + f", {what} binary" * bool(what)).select("own.*", "f1", "f2", "n", *[what] * bool(what))
+    return rows.mapInArrow(run, f"own {kind}, f1 long, f2 long, n long" + "".join(f", {x} binary" for x in names)).select("own.*", "f1", "f2", "n", *names)
 
 
-def leaves_of(records: DataFrame, threshold: float, runs: int, depth: int, small: int, tokens: int) -> DataFrame:
-    """(leaf, did, fp, n): the leaves of two records and more that each record is in; n records of each.
+def leaves_of(records: DataFrame, threshold: float, runs: range, small: int, tokens: int) -> tuple[DataFrame, int]:
+    """(leaf, did, fp, n, shingles), and the depth: the leaves of two records and more that each record is in.
 
-    Each level is a table in the shared folder. Rows of small nodes leave; those of large ones meet
-    their tokens again, by record, and split.
+    n and shingles: the records of each leaf and the sum of their sets' sizes. Each level is a table in
+    the shared folder. Rows of leaves leave; those of other nodes meet their tokens again, by record,
+    and split.
     """
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            path = np.asarray(batch.column(0)).view(_U)
-            values = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(-1, tokens)
-            rows, out = children(path, values, threshold)
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), batch.column(1).take(take), batch.column(2).take(take)], names=["leaf", *_NODE])
-
-    roots_ = records.select(F.explode(F.array(*(F.lit(r).cast("long") for r in range(1, runs + 1)))).alias("leaf"), *_NODE, "tokens")
-    found, rows = None, roots_
-    for level in range(1, depth + 1):
-        nodes = stored(rows.mapInArrow(split, "leaf long, did long, fp long"))
+            nodes = batch.column(0)
+            own = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(nodes.offsets)))
+            path, above = (np.asarray(x) for x in nodes.flatten().flatten())
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, tokens)
+            rows, out = children(path.view(_U), values[own], threshold)
+            take = pa.array(own[rows])
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(above[rows]), *(batch.column(k).take(take) for k in (2, 3, 4))], names=["leaf", "above", *_NODE, "words"])
+
+    every = records.select(*_NODE, F.col("n").alias("words"), "tokens")
+    total = F.lit(records.count()).cast("long").alias("above")
+    rows = every.withColumn("nodes", F.array(*(F.struct(F.lit(r).cast("long").alias("leaf"), total) for r in runs)))
+    found, depth = None, 0
+    while True:
+        depth += 1
+        with batch_rows(records.sparkSession, _ROWS):
+            nodes = stored(rows.select("nodes", "tokens", *_NODE, "words").mapInArrow(split, "leaf long, above long, did long, fp long, words long"))
         # stored, so that the join has an exchange on either side, whose large partitions Spark can split
-        counts = stored(nodes.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"))
+        counts = stored(nodes.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("words").alias("shingles")).where("n > 1"))
         known = stored(nodes.join(counts, "leaf"))
-        here = known if level == depth else known.where(F.col("n") <= small)
+        drop(nodes, counts)
+        ends = (F.col("n") <= small) | (F.col("n") >= F.lit(threshold) * F.col("above"))
+        here = known.where(ends).select("leaf", *_NODE, "n", "shingles")
         found = here if found is None else found.unionByName(here)
-        large = known.where(F.col("n") > small)
-        if level == depth or large.isEmpty():
-            return found
-        rows = large.join(records.select(*_NODE, "tokens"), _NODE).select("leaf", *_NODE, "tokens")
-    return found
+        large = known.where(~ends)
+        if large.isEmpty():
+            return found, depth
+        # a record is in few nodes: as many as the runs, times a factor for each level
+        rows = large.groupBy(*_NODE).agg(F.collect_list(F.struct("leaf", F.col("n").alias("above"))).alias("nodes")).join(every, _NODE)
 
 
-def _dealt(leaves: DataFrame, chunk: int) -> DataFrame:
-    """(leaf, a, b, mine, did, fp): each record in each block, a pair of chunks a <= b of its leaf."""
-    k = F.ceil(F.col("n") / chunk)
+def _dealt(leaves: DataFrame, chunk: int, set_bytes: int) -> DataFrame:
+    """(leaf, a, b, mine, did, fp): each record in each block, a pair of chunks a <= b of its leaf.
+
+    A chunk has about `chunk` records, and sets of about `set_bytes` bytes, at most.
+    """
+    k = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("shingles") * 8 / set_bytes))
     own = F.pmod(F.xxhash64(*_NODE), k)
     rows = leaves.withColumn("k", k).withColumn("mine", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     return rows.select("leaf", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", *_NODE)
@@ -306,22 +327,38 @@ def _dealt(leaves: DataFrame, chunk: int) -> DataFrame:
 _KEYS = ["leaf", "a", "b"]
 
 
-def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, depth: int = 4, small: int = 512, chunk: int = 1024, tokens: int = 128, seed: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, depth: int = 3, small: int = 512, chunk: int = 512, set_bytes: int = 8 << 20, tokens: int = 128, seed: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes, links and components.
 
-    documents: (doc_id, did, f1, f2, n) with a row for each row of docs. records: (did, fp, size), a
-    class of documents with equal sets each, named by its smallest id and a hash of the set. linked:
-    (did, fp, to_did, to_fp, links), rows of records with the number of documents that one task has
-    linked with them (add these up) and a record of the same component.
+    documents: (doc_id, did, th, f1, f2, n) with a row for each row of docs; th is a hash of the text.
+    records: (did, fp, f2, size), a class of documents with equal sets each, named by its smallest id
+    and a hash of the set. linked: (did, fp, to_did, to_fp, links), rows of records with the number of
+    documents that one task has linked with them (add these up) and a record of the same component.
+
+    Trees are first made for a depth of `depth`; where nodes go deeper, the runs that this needs follow.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc_key(id_col).alias("did"), F.col(text_col).alias("text"))
-    every = stored(with_sets(base, size, [F.col("doc_id"), F.col("did")], "tokens", tokens, seed))
-    records = every.where("n > 0").groupBy("f1", "f2").agg(F.min("did").alias("did"), F.count("*").alias("size"), F.first("tokens").alias("tokens"))
-    records = stored(records.withColumnRenamed("f1", "fp"))
-    leaves = stored(leaves_of(records, threshold, runs_for(threshold, depth, recall, tokens), depth, small, tokens))
-    lists = leaves.groupBy(*_NODE).agg(F.collect_list("leaf").alias("leaves"))
-    sketched = records.select(*_NODE, "tokens").join(lists, _NODE)
-    least = least_agreeing(threshold, tokens)
+    spark = docs.sparkSession
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc_key(id_col).alias("did"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text"))
+    with scope(spark) as keep:
+        with batch_rows(spark, _ROWS):
+            every = keep(stored(with_sets(base, size, [F.col("doc_id"), F.col("did"), F.col("th")], "tokens", tokens, seed)))
+        grouped = every.where("n > 0").groupBy("f1", "f2").agg(F.min("did").alias("did"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("low").alias("low"))
+        records = keep(stored(grouped.withColumnRenamed("f1", "fp")))
+        made, deepest, found = 0, depth, None
+        while made < (need := runs_for(threshold, deepest, recall, tokens)):
+            more, reached = leaves_of(records, threshold, range(made + 1, need + 1), small, tokens)
+            found = more if found is None else found.unionByName(more)
+            made, deepest = need, max(deepest, reached)
+        leaves = stored(found)
+        lists = leaves.groupBy(*_NODE).agg(F.collect_list("leaf").alias("leaves"))
+        sketched = records.select(*_NODE, "low").join(lists, _NODE)
+        linked = keep(_linked(base, every, records, leaves, sketched, size, threshold, least_agreeing(threshold, tokens), chunk, set_bytes, tokens))
+    return every.drop("tokens", "low"), records.drop("tokens", "low", "n"), linked
+
+
+def _linked(base: DataFrame, every: DataFrame, records: DataFrame, leaves: DataFrame, sketched: DataFrame, size: int, threshold: float, least: int, chunk: int, set_bytes: int, tokens: int) -> DataFrame:
+    """links()'s third table: blocks of chunks propose pairs by their tokens' low bytes, then whole sets confirm them."""
+    spark = base.sparkSession
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(x, pa.int64()) for x in (*_KEYS, *_NODE)] + [("bits", pa.binary())])
@@ -331,7 +368,7 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
                 continue
             order = np.lexsort((np.asarray(block["fp"]), np.asarray(block["did"])))
             block = block.take(pa.array(order))
-            values = np.frombuffer(b"".join(block["tokens"].to_pylist()), "<u4").reshape(-1, tokens).astype(np.uint8)
+            values = np.frombuffer(b"".join(block["low"].to_pylist()), np.uint8).reshape(-1, tokens)
             leaf, a, b = (block[x][0].as_py() for x in _KEYS)
             lists = [np.array(x, np.int64) for x in block["leaves"].to_pylist()]
             found = candidates(values, leaf, lists, np.asarray(block["mine"]) if a < b else None, least)
@@ -341,20 +378,24 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
                 take = block.select(["did", "fp"]).take(pa.array(keep))
                 for column, x in zip(out, ([leaf] * len(keep), [a] * len(keep), [b] * len(keep), take["did"].to_pylist(), take["fp"].to_pylist(), [np.packbits(r).tobytes() for r in own])):
                     column += x
-            if len(out[0]) >= 4096:
+            if len(out[0]) >= _ROWS:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
                 out = [[] for _ in schema]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    deal = _dealt(leaves, chunk).join(sketched, _NODE)
     n = partitions_for(every)
-    deal = deal.repartition(n, *_KEYS).sortWithinPartitions(*_KEYS).select(*_KEYS, "mine", *_NODE, "tokens", "leaves")
-    proposed = stored(deal.mapInArrow(propose, "leaf long, a long, b long, did long, fp long, bits binary"))
-
-    wanted = proposed.select(*_NODE).distinct()
-    texts = base.join(wanted.select("did").distinct(), "did", "left_semi")
-    sets = with_sets(texts, size, [F.col("did")], "set").select("did", F.col("f1").alias("fp"), "set").join(wanted, _NODE, "left_semi")
-    sets = stored(sets.dropDuplicates(_NODE))
+    deal = _dealt(leaves, chunk, set_bytes).join(sketched, _NODE)
+    deal = deal.repartition(n, *_KEYS).sortWithinPartitions(*_KEYS).select(*_KEYS, "mine", *_NODE, "low", "leaves")
+    with batch_rows(spark, _ROWS):
+        proposed = stored(deal.mapInArrow(propose, "leaf long, a long, b long, did long, fp long, bits binary"))
+    drop(leaves)
+
+    wanted = stored(proposed.select(*_NODE).distinct())
+    # one document of each wanted record gives its set
+    named = every.select("did", "th", F.col("f1").alias("fp")).join(wanted, _NODE, "left_semi").groupBy(*_NODE).agg(F.min("th").alias("th"))
+    texts = base.join(stored(named).select("did", "th"), ["did", "th"], "left_semi").select("did", "th", "text").dropDuplicates(["did", "th"])
+    with batch_rows(spark, _ROWS // 4):
+        sets = stored(with_sets(texts, size, [F.col("did")], "set").select("did", F.col("f1").alias("fp"), "set"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(x, pa.int64()) for x in (*_NODE, "to_did", "to_fp", "links")])
@@ -372,10 +413,10 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
             did, fp = np.asarray(block["did"]), np.asarray(block["fp"])
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[keep], fp[keep], did[root], fp[root], weight[keep])], schema=schema)
 
-    checked = proposed.join(sets, _NODE).join(records.select(*_NODE, "size"), _NODE).repartition(n, *_KEYS).sortWithinPartitions(*_KEYS)
+    checked = proposed.join(records.select(*_NODE, "size"), _NODE).join(sets, _NODE).repartition(n, *_KEYS).sortWithinPartitions(*_KEYS)
     checked = checked.select(*_KEYS, *_NODE, "bits", "set", "size")
-    linked = stored(checked.mapInArrow(verify, "did long, fp long, to_did long, to_fp long, links long"))
-    return every, records.drop("tokens"), linked
+    with batch_rows(spark, _ROWS // 4):
+        return stored(checked.mapInArrow(verify, "did long, fp long, to_did long, to_fp long, links long"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -395,13 +436,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         met = large.join(least, F.col("x") == F.col("of"))
         small = met.select(F.col("y").alias("x"), F.col("m").alias("y")).where(F.col("x") != F.col("y")).unionAll(met.select("x", F.col("m").alias("y")))
         new = stored(small.distinct())
-        same = new.count() == rows.count() and new.exceptAll(rows).isEmpty()
+        same = marks(new) == marks(rows)
+        drop(rows, large)
         rows = new
         if same:
             return rows.select(F.col("x").alias("node"), F.col("y").alias("root"))
     raise RuntimeError("components didn't settle")
 
 
+def marks(edges: DataFrame) -> tuple:
+    """The number of distinct edges and two sums of their hashes, by which tables are compared without a join."""
+    parts = [F.sum(F.xxhash64(F.lit(k), "x", "y").cast("decimal(38,0)")) for k in (1, 2)]
+    return tuple(edges.agg(F.count("*"), *parts).first())
+
+
 def _node(did: str = "did", fp: str = "fp") -> Column:
     return F.struct(F.col(did).alias("did"), F.col(fp).alias("fp"))
 
@@ -423,27 +471,39 @@ def join(docs: DataFrame, **options) -> DataFrame:
     without words, have no links; each is its own class. Repeated rows link with each other. An empty
     table gives no rows.
     """
-    every, records, linked = links(docs, **options)
-    found = stored(labelled(records, linked).select(F.col("fp").alias("f1"), "f2", F.col("root.did").alias("class"), (F.col("links") + F.col("size") - 1).alias("n_links")))
-    rows = every.select("doc_id", "did", "f1", "f2", "n")
+    with scope(docs.sparkSession) as keep:
+        every, records, linked = links(docs, **options)
+        named = labelled(records, linked).select(F.col("fp").alias("f1"), "f2", F.col("root.did").alias("class"), (F.col("links") + F.col("size") - 1).alias("n_links"))
+        found = keep(stored(named))
+        rows = keep(stored(every.select("doc_id", "did", "f1", "f2", "n")))
     full = rows.where("n > 0").join(found, ["f1", "f2"]).select("doc_id", F.col("class"), "n_links")
     empty = rows.where("n = 0").select("doc_id", F.col("did").alias("class"), F.lit(0).cast("long").alias("n_links"))
     none = 2**63 - 1
     return full.unionAll(empty).select("doc_id", F.when(F.col("class") != none, F.col("class")).alias("class_id"), "n_links")
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group that links connect, that of the smallest id, with all its columns.
 
-    Documents without words stay. Of repeated rows one stays.
+    Documents without words stay. Of several rows with the smallest id the one of the least hash of its
+    text, then of all its columns stays, so that of repeated rows there is one. Which rows go is decided
+    on ids and hashes alone; then the rows of docs meet those that go, once, and never pass through
+    Python.
     """
-    size = options.get("size", 5)
-    _, records, linked = links(docs, **options)
-    first = labelled(records, linked).where(F.col("root") == _node()).select(F.col("did").alias("kd"), F.col("fp").alias("k1"), F.col("f2").alias("k2"))
-    rows = with_sets(docs, size, [F.struct("*").alias("row"), doc_key().alias("did")], "")
-    kept = rows.where("n > 0").join(first, (F.col("did") == F.col("kd")) & (F.col("f1") == F.col("k1")) & (F.col("f2") == F.col("k2")))
-    kept = kept.withColumn("place", F.row_number().over(W.partitionBy("kd", "k1", "k2").orderBy(F.lit(1)))).where("place = 1")
-    return kept.select("row.*").unionAll(rows.where("n = 0").select("row.*"))
+    with scope(docs.sparkSession) as keep:
+        every, records, linked = links(docs, id_col=id_col, text_col=text_col, **options)
+        first = labelled(records, linked).where(F.col("root") == _node()).select("did", F.col("fp").alias("f1"), "f2")
+        full = every.where("n > 0")
+        least = full.join(first, ["did", "f1", "f2"]).groupBy("did", "f1", "f2").agg(F.min("th").alias("th")).select("did", "th")
+        stays = stored(least.withColumn("stays", F.lit(True)))
+        texts = full.groupBy("did", "th").agg(F.count("*").alias("rows")).join(stays, ["did", "th"], "left")
+        # texts of which no row stays as it is: none at all, or one of several
+        out = keep(stored(texts.where("stays IS NULL OR rows > 1").select("did", "th", F.col("stays").isNotNull().alias("one"))))
+    keyed = docs.select(F.struct("*").alias("row"), doc_key(id_col).alias("did"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), row_hash(docs).alias("rh"))
+    kept = keyed.join(out.select("did", "th"), ["did", "th"], "left_anti").select("row.*")
+    # repeated rows meet in partial aggregates, however many there are
+    one = keyed.join(out.where("one").select("did", "th"), ["did", "th"], "left_semi").groupBy("did", "th").agg(F.min_by("row", "rh").alias("row"))
+    return kept.unionAll(one.select("row.*"))
 
 
 def op10_jaccard_join(docs: DataFrame) -> DataFrame:

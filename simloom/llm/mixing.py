@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from simloom.llm._common import partitions_for, stored, whole_text
+from simloom.llm._common import drop, partitions_for, row_hash, scope, stored, whole_text
 
 
 def word_count(text: Column) -> Column:
@@ -31,27 +31,41 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """(source, source_size, target) with a row for each source.
+    """(source, source_size, target) with a row for each source, as a stored table.
 
     Sources, by code point and null last, take the weights in turn and share `share` times all
     sizes. No target is above `most` times its source's size: what is above is shared again among
-    the others. That is a common level, cut off where a source is full.
+    the others. That is a common level, cut off where a source is full; each pass over the sources
+    closes those that the level fills and raises it, until none is closed. Sources are numbered range
+    by range, so that they may be as many as hosts. All sums are of whole numbers, so reruns agree.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), ((turn - 1) % len(weights) + 1).cast("int"))
-    rows = per.withColumn("weight", weight).withColumn("full", F.col("source_size") * F.lit(float(most)))
-    by = W.orderBy(F.col("full") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by.rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy()
-    rows = rows.withColumn("place", F.row_number().over(by)).withColumn(
-        "level",
-        (F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("full").over(before), F.lit(0.0)))
-        / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))),
-    )
-    open_ = F.col("level") * F.col("weight") <= F.col("full")
-    level = F.min_by(F.when(open_, F.col("level")), F.when(open_, F.col("place"))).over(every)
-    return rows.withColumn("level", level).select("source", "source_size", F.least(F.col("full"), F.coalesce(F.col("level") * F.col("weight"), F.col("full"))).alias("target"))
+    kinds = len(weights)
+    with scope(sized.sparkSession) as keep:
+        per = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+        ranged = per.repartitionByRange(partitions_for(per), F.col("source").asc_nulls_last())
+        ranged = stored(ranged.withColumn("part", F.spark_partition_id()))
+        place = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+        starts, before = [], 0
+        for part, n in sorted(map(tuple, ranged.groupBy("part").count().collect())):
+            starts.append((part, before % kinds))
+            before += n
+        offsets = sized.sparkSession.createDataFrame(starts, "part int, start int")
+        turn = ((F.col("start") + place) % kinds).cast("int")
+        rows = stored(ranged.join(offsets, "part").select("source", "source_size", turn.alias("turn")))
+        drop(per, ranged)
+        weight = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), F.col("turn") + 1)
+        full = F.col("source_size") * F.lit(float(most))
+        level, closed = 0.0, -1
+        while True:
+            over = full <= F.lit(level) * weight
+            open_ = [F.count(F.when(~over & (F.col("turn") == k), 1)) for k in range(kinds)]
+            total, taken, now, *counts = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum(F.when(over, F.col("source_size"))), F.lit(0)), F.count(F.when(over, 1)), *open_).first()
+            if now == closed or not any(counts):
+                break
+            closed = now
+            level = (share * total - most * taken) / sum(w * n for w, n in zip(weights, counts))
+        target = F.when(over, full).otherwise(F.lit(level) * weight)
+        return keep(stored(rows.select("source", "source_size", target.alias("target"))))
 
 
 _ROW = "key long, doc_id long, source string, size long, source_size long, target double, copies long, p double, chunk long"
@@ -116,48 +130,57 @@ def _rounded(seed: int, level: int, last: bool):
     return run
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 8, chunk_rows: int = 1024, fan: int = 64) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: Column | None = None, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 8, chunk_rows: int = 1024, fan: int = 64) -> DataFrame:
     """(key, doc_id, source, size, source_size, target, copies) with a row for each row of docs.
 
     copies: how often the mix takes the document, the whole part of its rate or one more, so never
-    more than `most` rounded up. key: a hash of the text, which with the id names a row up to exact
-    repetition; repeated rows are rounded each by itself. A null text has size 0, null is a source
-    of its own, an empty table gives no rows. Where all texts are empty all targets are 0.
+    more than `most` rounded up. key: a hash of the text unless another is given, which with id and
+    source names a row up to exact repetition; repeated rows are rounded each by itself. A null text
+    has size 0, null is a source of its own, an empty table gives no rows. Where all texts are empty
+    all targets are 0.
     """
-    sized = stored(
-        docs.select(
-            F.xxhash64(whole_text(text_col)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(whole_text(text_col)).alias("size")
-        )
-    )
-    chunks = max(1, -(-sized.count() // chunk_rows))
-    targets = stored(source_targets(sized, weights, share, most)).withColumnRenamed("source", "of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate).withColumn("copies", F.floor("rate"))
-    rows = rows.withColumn("p", F.when(F.col("rate") > F.col("copies"), F.col("rate") - F.col("copies"))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key"), F.lit(chunks)))
-    names = [f.name for f in _SCHEMA]
-    done, level = None, 0
-    while True:
-        last = chunks == 1
-        by = ["chunk"] if level == 0 else ["chunk", "source"]
-        dealt = rows.select(*names).repartition(partitions_for(rows), *by).sortWithinPartitions("chunk", "source", "doc_id", "size", "key")
-        table = stored(dealt.mapInArrow(_rounded(seed, level, last), _ROW))
-        settled = table.where(F.col("p").isNull())
-        done = settled if done is None else done.unionAll(settled)
-        if last:
-            return done.drop("p", "chunk")
-        chunks = -(-chunks // fan)
-        rows = table.where(F.col("p").isNotNull()).withColumn("chunk", F.floor(F.col("chunk") / fan).cast("long"))
-        level += 1
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as mix() takes it, with all their columns."""
-    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole_text("text")).alias("th"))
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("id_"), F.col("key").alias("th_")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
-    both = row.join(taken, (F.col("th") == F.col("th_")) & F.col("id").eqNullSafe(F.col("id_")))
-    place = F.row_number().over(W.partitionBy("th", "id").orderBy(F.lit(1)))
-    copies = F.floor(F.col("copies") / F.col("n")) + (place <= F.col("copies") % F.col("n")).cast("long")
-    return both.withColumn("times", copies.cast("int")).select("row", F.explode(F.expr("array_repeat(0, times)"))).select("row.*")
+    key = F.xxhash64(whole_text(text_col)) if key is None else key
+    with scope(docs.sparkSession) as keep:
+        sized = stored(docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(whole_text(text_col)).alias("size")))
+        chunks = max(1, -(-sized.count() // chunk_rows))
+        targets = source_targets(sized, weights, share, most).withColumnRenamed("source", "of")
+        rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+        rows = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate).withColumn("copies", F.floor("rate"))
+        rows = rows.withColumn("p", F.when(F.col("rate") > F.col("copies"), F.col("rate") - F.col("copies"))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key"), F.lit(chunks)))
+        names = [f.name for f in _SCHEMA]
+        done, level, table = None, 0, sized
+        while True:
+            last = chunks == 1
+            by = ["chunk"] if level == 0 else ["chunk", "source"]
+            dealt = rows.select(*names).repartition(partitions_for(rows), *by).sortWithinPartitions("chunk", "source", "doc_id", "size", "key")
+            table = keep(stored(dealt.mapInArrow(_rounded(seed, level, last), _ROW)))
+            settled = table.where(F.col("p").isNull())
+            done = settled if done is None else done.unionAll(settled)
+            if level == 0:
+                drop(sized)
+            if last:
+                return done.drop("p", "chunk")
+            chunks = -(-chunks // fan)
+            rows = table.where(F.col("p").isNotNull()).withColumn("chunk", F.floor(F.col("chunk") / fan).cast("long"))
+            level += 1
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as mix() takes it, with all their columns.
+
+    A row is named by its id and a hash of all its columns, so that rows of one id or text that differ
+    elsewhere, in their source too, keep their own copies. Rows that are equal in everything are one
+    row that is taken as often as all of them together.
+    """
+    with scope(docs.sparkSession) as keep:
+        taken = mix(docs, id_col=id_col, key=row_hash(docs), **options).groupBy(F.col("doc_id").alias("id_"), F.col("key").alias("key_"))
+        taken = keep(stored(taken.agg(F.sum("copies").cast("int").alias("times"), F.count("*").alias("n"))))
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), row_hash(docs).alias("key"))
+    same = (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_"))
+    single = row.join(taken.where("n = 1 AND times > 0"), same).select("row", "times")
+    # repeated rows meet in a partial aggregate, however many there are
+    equal = row.join(taken.where("n > 1 AND times > 0"), same).groupBy("key", "id").agg(F.min_by("row", "key").alias("row"), F.min("times").alias("times"))
+    return single.unionAll(equal.select("row", "times")).select("row", F.explode(F.expr("array_repeat(0, times)"))).select("row.*")
 
 
 def op8_mixing(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from simloom.llm import jaccard_join as j
 
@@ -79,6 +80,33 @@ def test_one_stays_of_each_group(spark):
     assert j.deduplicated(docs.limit(0)).count() == 0 and j.join(docs.limit(0)).count() == 0
 
 
+def test_of_rows_with_one_id_the_same_one_stays(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, text, "a", {"k": 1}), (7, text, "b", {"k": 2}), (7, text, "b", {"k": 2}), (7, text + " end", "c", {"k": 3}), (8, text, "d", {"k": 4}), (9, "other", None, None), (9, "other", None, None)]
+    docs = spark.createDataFrame(rows * 40, "doc_id long, text string, row string, extra map<string,int>")
+    first = sorted(map(str, j.deduplicated(docs).collect()))
+    assert len(first) == 2 and first == sorted(map(str, j.deduplicated(docs.orderBy(F.desc("row")).repartition(5)).collect()))
+
+
+def test_depth_follows_from_the_data(spark):
+    """A large cluster is a leaf at once; nodes of records that differ split until they are small."""
+    rng = np.random.default_rng(4)
+    near = np.repeat(rng.integers(0, 2**32, (1, 128), dtype=np.uint64), 300, 0)
+    near[rng.random(near.shape) < 0.05] = 1
+    half = rng.integers(0, 2**32, (300, 128), dtype=np.uint64)
+    half[rng.random(half.shape) < 0.5] = 2  # any two agree in a quarter of their tokens
+    rows = [(i, i, 10, 1, t.astype(np.uint32).tobytes()) for i, t in enumerate(np.vstack([near, half]))]
+    records = spark.createDataFrame([(a, b, c, d, bytearray(e)) for a, b, c, d, e in rows], "did long, fp long, n long, size long, tokens binary")
+    leaves, depth = j.leaves_of(records, 0.8, range(1, 12), 16, 128)
+    found = {}
+    for x in leaves.collect():
+        found.setdefault(x.leaf, []).append((x.did, x.n, x.shingles))
+    assert all(len(v) == n and w == 10 * n for v in found.values() for _, n, w in v)
+    assert 3 <= depth <= 1 + np.log(600 / 16) / np.log(1 / 0.8)
+    assert max(len(v) for v in found.values()) > 200
+    assert all(min(len([d for d, _, _ in v if d < 300]), len([d for d, _, _ in v if d >= 300])) <= 16 for v in found.values() if len(v) > 100)
+
+
 def test_runs_meet_the_target_recall():
     rng = np.random.default_rng(1)
     runs = j.runs_for(0.8, 4, 0.9999)

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from simloom.llm import mixing as m, queries
 
 
@@ -77,3 +79,26 @@ def test_the_mix_itself_and_empty_tables(spark):
     assert out.columns == docs.columns
     assert abs(out.where("source = 's'").count() - 1.5 * 43) < 1
     assert m.mixed(docs.limit(0)).count() == 0 and m.mix(docs.limit(0)).count() == 0
+
+
+def test_many_sources_are_numbered_across_ranges(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randint(0, 9), f"host{rng.randrange(400)}") for i in range(4000)] + [(9000, "w", None)]
+    check(rows, m.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+
+
+def test_rows_of_one_id_and_text_keep_their_sources(spark):
+    rows = [(i % 100, "one two three", "ab"[i // 100], {"k": i // 100}) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string,int>")
+    first = sorted(map(str, m.mixed(docs).collect()))
+    assert first == sorted(map(str, m.mixed(docs.orderBy(F.desc("source")).repartition(3)).collect()))
+    taken = {s: sum(f"source='{s}'" in x for x in first) for s in "ab"}
+    want = {x.source: x.target / 3 for x in m.mix(docs).collect()}
+    assert all(abs(taken[s] - want[s]) <= 1 for s in "ab")
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "w " * 400_000, "a"), (2, "x" * 1_000_000, "a"), (3, "w", "b")]
+    got = m.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(x.size for x in got) == [1, 1, 400_000]
+    check(rows, got)
