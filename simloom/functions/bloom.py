@@ -44,7 +44,8 @@ def _turned(digits: Column) -> Column:
 def encode(length: int = 1024, prefix: str = "w") -> Column:
     """base64 of the word columns: byte i holds bits 8i..8i+7, the lowest first."""
     digits = F.concat(*(_turned(F.lpad(F.hex(w), 16, "0")) for w in word_names(length, prefix)))
-    return F.base64(F.unhex(F.substring(digits, 1, 2 * -(-length // 8))))
+    # Spark breaks long base64 into lines
+    return F.translate(F.base64(F.unhex(F.substring(digits, 1, 2 * -(-length // 8)))), "\r\n", "")
 
 
 def decode(text: Column, length: int = 1024, prefix: str = "w") -> list[Column]:
