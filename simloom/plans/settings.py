@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, fields
 from itertools import islice
 
-#: Default parameters; lists of one grid have equal lengths and are read in step.
+#: Default parameters. Lists of one grid have equal lengths and are read in step.
 DEFAULT_GRID = {
     "graphsage": {"layers": [[256, 128]], "num_samples": [[10, 5]], "epochs": [1]},
     "deepgraphinfomax": {"layers": [[512]], "activation": [["relu"]], "epochs": [20]},
@@ -80,12 +80,40 @@ def grid(kind: str, lists: dict[str, list]) -> Iterator:
         yield make(**{k: frozen(v) for k, v in zip(lists, values)})
 
 
+#: The names of lists in files that have one dict for each technique, and ours.
+LIST_NAMES = {
+    "LAYER_STRUCTURES_LIST": "layers",
+    "EPOCHS_LIST": "epochs",
+    "NUM_SAMPLES_LIST": "num_samples",
+    "NUM_WALKS_LIST": "number_of_walks",
+    "LENGTH_LIST": "length",
+    "BATCH_SIZE_LIST": "batch_size",
+    "ACTIVATION_FUNC_LIST": "activation",
+    "SAMPLE_PCT_LIST": "sample_points",
+    "SCALES_LIST": "scales",
+    "DEGREE_LIST": "order",
+}
+
+
 def load_grid(path: str) -> dict[str, dict[str, list]]:
-    """The GRID of a Python file that the user names."""
+    """The parameter grids of a Python file that the user names.
+
+    Either one dict GRID by technique, or a dict of lists for each: graphsage_settings,
+    deepgraphinfomax_settings and graphwave_settings, whose scales may be ["auto"].
+    """
     spec = importlib.util.spec_from_file_location("simloom_grid", path)
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
-    return module.GRID
+    if hasattr(module, "GRID"):
+        return module.GRID
+    found = {kind: getattr(module, f"{kind}_settings") for kind in _KINDS if hasattr(module, f"{kind}_settings")}
+    if not found:
+        raise ValueError(f"{path} has neither GRID nor settings of {', '.join(_KINDS)}")
+    out = {kind: {LIST_NAMES.get(k, k): list(v) for k, v in lists.items()} for kind, lists in found.items()}
+    for lists in out.values():
+        if "scales" in lists:
+            lists["scales"] = [None if x in ("auto", ["auto"]) else x for x in lists["scales"]]
+    return out
 
 
 def embeddings(grids: dict[str, dict[str, list]], most: int | None = None) -> Iterator:

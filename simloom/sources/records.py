@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_records(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool | None = None) -> DataFrame:
     """A CSV with a header, all columns as text, empty fields as "", and row_idx, the position in the file.
 
     Positions come from the offset of each file split: the splits' row counts, a row for each split,
-    are summed on the driver, so no rows are moved or sorted.
+    are summed on the driver, so no rows are moved or sorted. A file with line breaks in quoted fields
+    can't be split; it is found by a pass over the lines (unless multi_line says) and read whole.
     """
-    rows = spark.read.csv(path, header=True, inferSchema=False, nullValue="\x00", emptyValue="").na.fill("")
+    if multi_line is None:
+        # a quoted line break leaves lines with an odd number of quotes
+        multi_line = not spark.read.text(path).where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
+    rows = spark.read.csv(path, header=True, inferSchema=False, nullValue="\x00", emptyValue="", multiLine=multi_line, quote='"', escape='"').na.fill("")
     columns = columns or rows.columns
     split = F.col("_metadata")
     rows = rows.select(*columns, split.getField("file_path").alias("_f"), split.getField("file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
@@ -38,19 +42,19 @@ def restrict(records: DataFrame, n: int, id_col: str = "row_idx") -> DataFrame:
 def sample_exact(records: DataFrame, removed: float, seed: int, id_col: str = "row_idx") -> DataFrame:
     """round((1 - removed) * N) rows without replacement, the same for a seed whatever the partitioning.
 
-    The rows of smallest hash. A histogram of the hashes' first 16 bits says which bins are in whole;
-    only the bin at the edge is ranked.
+    The rows of smallest md5 of "seed:id". A histogram of the hashes' first 16 bits says which bins are
+    in whole; only the bin at the edge is ranked.
     """
     if not 0 <= removed <= 1:
         raise ValueError("the removed share lies between 0 and 1")
-    hashed = records.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col)))
-    hashed = hashed.withColumn("_bin", F.shiftright("_h", 48) + 32768)
+    hashed = records.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary")))
+    hashed = hashed.withColumn("_bin", F.substring("_h", 1, 4))
     counts = {b: n for b, n in hashed.groupBy("_bin").count().collect()}
-    wanted, below = round((1 - removed) * sum(counts.values())), 0
-    for edge in range(65536):
-        if below + counts.get(edge, 0) >= wanted:
+    wanted, below, edge = round((1 - removed) * sum(counts.values())), 0, ""
+    for edge in sorted(counts):
+        if below + counts[edge] >= wanted:
             break
-        below += counts.get(edge, 0)
+        below += counts[edge]
     whole = hashed.where(F.col("_bin") < edge)
     last = hashed.where(F.col("_bin") == edge).orderBy("_h", id_col).limit(wanted - below)
     return whole.unionAll(last).drop("_h", "_bin")

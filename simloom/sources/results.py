@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The names of the result files' columns.
+
 #: Columns of older result files under their present names.
 RENAMED = {"lsh_count": "lsh_count_nm", "lsh_size": "lsh_size_nm"}
 
