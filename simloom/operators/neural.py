@@ -85,42 +85,88 @@ class _Adjacency:
         return out * scale
 
 
+def _levels(adj: _Adjacency, rng, nodes: np.ndarray, samples) -> list[np.ndarray]:
+    """The nodes, their drawn neighbours, these ones' neighbours and so on, end to end level by level."""
+    out = [nodes]
+    for k in samples:
+        out.append(adj.draw(rng, out[-1], k).ravel())
+    return out
+
+
+def sage_forward(w: list[np.ndarray], x: np.ndarray, levels: list[np.ndarray], samples) -> tuple[np.ndarray, tuple]:
+    """Vectors of unit length of the first level's nodes, and what the gradient needs.
+
+    w holds for each layer the weights of the node, those of its neighbours' mean, and the bias. Hidden
+    layers end in relu.
+    """
+    depth, held, kept = len(samples), [x[f] for f in levels], []
+    for k in range(depth):
+        own_w, near_w, bias = w[3 * k : 3 * k + 3]
+        layer, out = [], []
+        for i in range(depth - k):
+            near = held[i + 1].reshape(len(held[i]), samples[i], -1).mean(axis=1)
+            raw = np.hstack([held[i] @ own_w, near @ near_w]) + bias
+            layer.append((held[i], near, raw))
+            out.append(raw if k == depth - 1 else np.maximum(raw, 0))
+        kept.append(layer)
+        held = out
+    size = np.sqrt((held[0] ** 2).sum(axis=1, keepdims=True)) + 1e-12
+    return held[0] / size, (kept, held[0] / size, size)
+
+
+def sage_backward(w: list[np.ndarray], grad: np.ndarray, state: tuple, samples) -> list[np.ndarray]:
+    """The gradient by w, given that by the unit vectors."""
+    kept, unit, size = state
+    depth = len(samples)
+    back, out = [(grad - unit * (grad * unit).sum(axis=1, keepdims=True)) / size], [None] * (3 * depth)
+    for k in reversed(range(depth)):
+        own_w, near_w, bias = w[3 * k : 3 * k + 3]
+        half, sums = own_w.shape[1], [np.zeros_like(own_w), np.zeros_like(near_w), np.zeros_like(bias)]
+        below: list = [0.0] * (depth - k + 1)
+        for i, (own, near, raw) in enumerate(kept[k]):
+            d = back[i] if k == depth - 1 else back[i] * (raw > 0)
+            sums[0] += own.T @ d[:, :half]
+            sums[1] += near.T @ d[:, half:]
+            sums[2] += d.sum(axis=0)
+            if k:
+                below[i] = below[i] + d[:, :half] @ own_w.T
+                below[i + 1] = below[i + 1] + np.repeat(d[:, half:] @ near_w.T / samples[i], samples[i], axis=0)
+        out[3 * k : 3 * k + 3], back = sums, below
+    return out
+
+
+def sage_loss(w: list[np.ndarray], x: np.ndarray, ends: tuple[list, list], label: np.ndarray, samples) -> tuple[float, list[np.ndarray]]:
+    """Cross entropy of telling pairs that meet on walks (label 1) from random ones, and its gradient by w.
+
+    ends: the levels of each end of the pairs. The last two of w are the link's weights and bias.
+    """
+    (u, su), (v, sv) = (sage_forward(w, x, e, samples) for e in ends)
+    both = np.hstack([u, v])
+    p = _sigmoid((both @ w[-2])[:, 0] + w[-1])
+    loss = float(-(label * np.log(p + 1e-12) + (1 - label) * np.log(1 - p + 1e-12)).mean())
+    d = ((p - label) / len(label))[:, None]
+    back, width = d @ w[-2].T, u.shape[1]
+    grads = [a + b for a, b in zip(sage_backward(w, back[:, :width], su, samples), sage_backward(w, back[:, width:], sv, samples))]
+    return loss, [*grads, both.T @ d, d.sum(axis=0)]
+
+
+def sage_weights(rng, width: int, layers) -> list[np.ndarray]:
+    out = []
+    for h in layers:
+        out += [_glorot(rng, width, h - h // 2), _glorot(rng, width, h // 2), np.zeros(h)]
+        width = h
+    return [*out, _glorot(rng, 2 * width, 1), np.zeros(1)]
+
+
 def train_sage(x: np.ndarray, src: np.ndarray, dst: np.ndarray, layers=(256, 128), samples=(10, 5), walks: int = 1, length: int = 5, batch: int = 512, epochs: int = 1, seed: int = 11) -> tuple[np.ndarray, list[float]]:
-    """Embeddings (unit length) and the loss of each batch: two mean-aggregator layers, trained to tell
-    nodes that meet on random walks from random pairs."""
-    if len(layers) != 2 or len(samples) != 2:
-        raise ValueError("two layers with a number of samples each")
+    """Embeddings (unit length) and the loss of each batch: mean-aggregator layers with a bias, as many as
+    there are sizes, trained to tell nodes that meet on random walks from random pairs."""
+    if len(layers) != len(samples) or not layers or min(layers) < 2:
+        raise ValueError("one number of samples for each layer, and layers of 2 and more")
     rng = np.random.default_rng(seed)
     adj, n = _Adjacency(src, dst, len(x)), len(x)
-    half = [h // 2 for h in layers]
-    w = [_glorot(rng, x.shape[1], half[0]), _glorot(rng, x.shape[1], half[0]), _glorot(rng, layers[0], half[1]), _glorot(rng, layers[0], half[1]), _glorot(rng, 2 * layers[1], 1), np.zeros(1)]
+    w = sage_weights(rng, x.shape[1], layers)
     adam, losses = _Adam(w), []
-
-    def forward(nodes):
-        one = adj.draw(rng, nodes, samples[0])
-        flat = np.concatenate([nodes, one.ravel()])
-        two = adj.draw(rng, flat, samples[1])
-        mean = x[two].mean(axis=1)
-        raw = np.hstack([x[flat] @ w[0], mean @ w[1]])
-        hidden = np.maximum(raw, 0)
-        own, others = hidden[: len(nodes)], hidden[len(nodes) :].reshape(len(nodes), samples[0], -1)
-        near = others.mean(axis=1)
-        out = np.hstack([own @ w[2], near @ w[3]])
-        size = np.sqrt((out**2).sum(axis=1, keepdims=True)) + 1e-12
-        return out / size, (flat, mean, raw, own, near, out / size, size)
-
-    def backward(grad, kept, m):
-        flat, mean, raw, own, near, unit, size = kept
-        grad = (grad - unit * (grad * unit).sum(axis=1, keepdims=True)) / size
-        a, b = grad[:, : half[1]], grad[:, half[1] :]
-        g = [None, None, own.T @ a, near.T @ b]
-        back = np.empty_like(raw)
-        back[:m] = a @ w[2].T
-        back[m:] = np.repeat(b @ w[3].T / samples[0], samples[0], axis=0)
-        back *= raw > 0
-        g[0], g[1] = x[flat].T @ back[:, : half[0]], mean.T @ back[:, half[0] :]
-        return g
-
     for _ in range(epochs):
         starts = np.repeat(np.arange(n), walks)
         at, pairs = starts, []
@@ -131,47 +177,90 @@ def train_sage(x: np.ndarray, src: np.ndarray, dst: np.ndarray, layers=(256, 128
         bad = np.stack([good[:, 0], rng.choice(n, len(good), p=(adj.deg + 1e-9) ** 0.75 / ((adj.deg + 1e-9) ** 0.75).sum())], axis=1)
         every, label = np.concatenate([good, bad]), np.repeat([1.0, 0.0], len(good))
         for rows in np.array_split(rng.permutation(len(every)), max(1, len(every) // batch)):
-            u, ku = forward(every[rows, 0])
-            v, kv = forward(every[rows, 1])
-            both = np.hstack([u, v])
-            p = _sigmoid((both @ w[4])[:, 0] + w[5])
-            y = label[rows]
-            losses.append(float(-(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)).mean()))
-            d = ((p - y) / len(rows))[:, None]
-            back = d @ w[4].T
-            gu, gv = backward(back[:, : layers[1]], ku, len(rows)), backward(back[:, layers[1] :], kv, len(rows))
-            adam.step([a + b for a, b in zip(gu, gv)] + [both.T @ d, d.sum(axis=0)])
-    return forward(np.arange(n))[0], losses
-
-
-def train_dgi(x: np.ndarray, src: np.ndarray, dst: np.ndarray, width: int = 512, epochs: int = 20, patience: int = 20, seed: int = 12) -> tuple[np.ndarray, list[float]]:
-    """Embeddings and the loss of each epoch: one propagation layer with relu, trained to tell nodes from
-    nodes with shuffled features by their fit to the mean of all."""
+            ends = tuple(_levels(adj, rng, every[rows, k], samples) for k in (0, 1))
+            loss, grads = sage_loss(w, x, ends, label[rows], samples)
+            losses.append(loss)
+            adam.step(grads)
+    parts = [sage_forward(w, x, _levels(adj, rng, np.arange(a, min(n, a + batch)), samples), samples)[0] for a in range(0, n, batch)]
+    return np.concatenate(parts) if parts else np.zeros((0, layers[-1])), losses
+
+
+#: Each activation and its derivative, by the sum before it and the value after it.
+ACTIVATIONS = {
+    "linear": (lambda z: z, lambda z, h: np.ones_like(z)),
+    "relu": (lambda z: np.maximum(z, 0), lambda z, h: (z > 0) * 1.0),
+    "elu": (lambda z: np.where(z > 0, z, np.expm1(np.minimum(z, 0))), lambda z, h: np.where(z > 0, 1.0, h + 1)),
+    "tanh": (np.tanh, lambda z, h: 1 - h * h),
+    "sigmoid": (_sigmoid, lambda z, h: h * (1 - h)),
+    "softplus": (lambda z: np.logaddexp(0, z), lambda z, h: _sigmoid(z)),
+}
+
+
+def gcn_forward(w: list[np.ndarray], adj: _Adjacency, x: np.ndarray, activations) -> tuple[np.ndarray, list[tuple]]:
+    """Propagation layers, each with weights and a bias in w and an activation; and what the gradient needs."""
+    kept = []
+    for k, name in enumerate(activations):
+        near = adj.normalised(x)
+        raw = near @ w[2 * k] + w[2 * k + 1]
+        x = ACTIVATIONS[name][0](raw)
+        kept.append((near, raw, x))
+    return x, kept
+
+
+def gcn_backward(w: list[np.ndarray], adj: _Adjacency, grad: np.ndarray, kept: list[tuple], activations) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for k in reversed(range(len(activations))):
+        near, raw, h = kept[k]
+        grad = grad * ACTIVATIONS[activations[k]][1](raw, h)
+        out[:0] = [near.T @ grad, grad.sum(axis=0)]
+        if k:
+            grad = adj.normalised(grad @ w[2 * k].T)
+    return out
+
+
+def dgi_loss(w: list[np.ndarray], adj: _Adjacency, x: np.ndarray, shuffled: np.ndarray, activations) -> tuple[float, list[np.ndarray]]:
+    """Cross entropy of telling nodes from nodes with shuffled features by their fit to the mean of all, and its gradient by w."""
+    n, last = len(x), w[-1]
+    (h, kh), (f, kf) = gcn_forward(w, adj, x, activations), gcn_forward(w, adj, shuffled, activations)
+    s = _sigmoid(h.mean(axis=0))
+    ws = last @ s
+    p, q = _sigmoid(h @ ws), _sigmoid(f @ ws)
+    loss = float(-(np.log(p + 1e-12).mean() + np.log(1 - q + 1e-12).mean()) / 2)
+    dp, dq = (p - 1) / (2 * n), q / (2 * n)
+    g_ws = h.T @ dp + f.T @ dq
+    g_mean = (last.T @ g_ws) * s * (1 - s)
+    real = gcn_backward(w, adj, np.outer(dp, ws) + g_mean / n, kh, activations)
+    false = gcn_backward(w, adj, np.outer(dq, ws), kf, activations)
+    return loss, [*(a + b for a, b in zip(real, false)), np.outer(g_ws, s)]
+
+
+def train_dgi(x: np.ndarray, src: np.ndarray, dst: np.ndarray, layers=(512,), activations=("relu",), epochs: int = 20, patience: int = 20, seed: int = 12, width: int = 0) -> tuple[np.ndarray, list[float]]:
+    """Embeddings and the loss of each epoch: propagation layers with the given sizes and activations.
+
+    width is short for one layer of that size.
+    """
+    layers = (width,) if width else layers
+    if len(layers) != len(activations) or not layers:
+        raise ValueError("one activation for each layer")
+    if unknown := set(activations) - set(ACTIVATIONS):
+        raise ValueError(f"an activation is one of {', '.join(ACTIVATIONS)}, not {', '.join(sorted(unknown))}")
     rng = np.random.default_rng(seed)
-    adj, n = _Adjacency(src, dst, len(x)), len(x)
-    w = [_glorot(rng, x.shape[1], width), np.zeros(width), _glorot(rng, width, width)]
+    adj, n, width = _Adjacency(src, dst, len(x)), len(x), x.shape[1]
+    w: list[np.ndarray] = []
+    for h in layers:
+        w += [_glorot(rng, width, h), np.zeros(h)]
+        width = h
+    w.append(_glorot(rng, width, width))
     adam, losses, best = _Adam(w), [], (np.inf, 0)
-    real = adj.normalised(x)
     for epoch in range(epochs):
-        false = adj.normalised(x[rng.permutation(n)])
-        raw = [real @ w[0] + w[1], false @ w[0] + w[1]]
-        h = [np.maximum(r, 0) for r in raw]
-        mean = h[0].mean(axis=0)
-        s = _sigmoid(mean)
-        ws = w[2] @ s
-        p = [_sigmoid(x_ @ ws) for x_ in h]
-        losses.append(float(-(np.log(p[0] + 1e-12).mean() + np.log(1 - p[1] + 1e-12).mean()) / 2))
-        if losses[-1] < best[0]:
-            best = (losses[-1], epoch)
+        loss, grads = dgi_loss(w, adj, x, x[rng.permutation(n)], activations)
+        losses.append(loss)
+        if loss < best[0]:
+            best = (loss, epoch)
         elif epoch - best[1] >= patience:
             break
-        d = [(p[0] - 1) / (2 * n), p[1] / (2 * n)]
-        g_ws = h[0].T @ d[0] + h[1].T @ d[1]
-        g_mean = (w[2].T @ g_ws) * s * (1 - s)
-        back = [np.outer(d[0], ws) + g_mean / n, np.outer(d[1], ws)]
-        back = [b * (r > 0) for b, r in zip(back, raw)]
-        adam.step([real.T @ back[0] + false.T @ back[1], back[0].sum(axis=0) + back[1].sum(axis=0), np.outer(g_ws, s)])
-    return np.maximum(real @ w[0] + w[1], 0), losses
+        adam.step(grads)
+    return gcn_forward(w, adj, x, activations)[0], losses
 
 
 def learned(edges: DataFrame, features: DataFrame, kind: str, most_nodes: int = 200_000, **options) -> DataFrame:

@@ -206,3 +206,47 @@ def test_joins_equal_all_pairs(spark):
     keys = blocking.block_keys(v.select("nid", *bloom.word_names(128)), blocking.choose_positions(3, 4, 128, 1), blocking.word_bit())
     assert set(got) >= {(x.src, x.dst) for x in simjoin.encoded_edges(v, 0.6, 128, 4, keys).collect()}
     assert prepare.ground_truth(u, v).count() > 0
+
+
+def slope_error(loss, w):
+    """The largest difference between the gradient and central differences."""
+    found, worst = loss(w)[1], 0.0
+    for a, g in zip(w, found):
+        for i in np.ndindex(a.shape):
+            at = a[i]
+            a[i] = at + 1e-6
+            up = loss(w)[0]
+            a[i] = at - 1e-6
+            down = loss(w)[0]
+            a[i] = at
+            worst = max(worst, abs((up - down) / 2e-6 - g[i]))
+    return worst
+
+
+@pytest.mark.parametrize("layers,samples", [((5,), (3,)), ((6, 4), (3, 2)), ((6, 5, 3), (2, 2, 2))])
+def test_gradient_of_graphsage(layers, samples):
+    rng = np.random.default_rng(1)
+    src, dst = ring(9, rng)
+    adj, x = neural._Adjacency(src, dst, 9), rng.normal(size=(9, 4))
+    w = [a + rng.normal(size=a.shape) * 0.1 for a in neural.sage_weights(rng, 4, layers)]
+    ends = tuple(neural._levels(adj, rng, rng.integers(0, 9, 6), samples) for _ in range(2))
+    assert slope_error(lambda w: neural.sage_loss(w, x, ends, np.array([1, 0, 1, 1, 0, 0.0]), samples), w) < 1e-6
+
+
+@pytest.mark.parametrize("activations", [("relu",), ("tanh", "relu"), ("elu", "sigmoid", "softplus"), ("linear",)])
+def test_gradient_of_deep_graph_infomax(activations):
+    rng = np.random.default_rng(2)
+    src, dst = ring(9, rng)
+    adj, x, w, width = neural._Adjacency(src, dst, 9), rng.normal(size=(9, 4)), [], 4
+    for h in (5, 4, 3)[: len(activations)]:
+        w += [rng.normal(size=(width, h)), rng.normal(size=h)]
+        width = h
+    w.append(rng.normal(size=(width, width)))
+    shuffled = x[rng.permutation(9)]
+    assert slope_error(lambda w: neural.dgi_loss(w, adj, x, shuffled, activations), w) < 1e-6
+    with pytest.raises(ValueError):
+        neural.train_dgi(x, src, dst, layers=(4, 4), activations=("relu",))
+    with pytest.raises(ValueError):
+        neural.train_dgi(x, src, dst, layers=(4,), activations=("swirl",))
+    emb, _ = neural.train_dgi(x, src, dst, layers=(4, 3), activations=("elu", "tanh"), epochs=3)
+    assert emb.shape == (9, 3) and np.abs(emb).max() <= 1
