@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.scratch import stored
+from simloom.scratch import drop, stored
 
 
 def create_graph(edges: DataFrame, min_comp_size: int = 3) -> DataFrame:
@@ -23,13 +23,20 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("v"), F.col("dst").alias("n"), "weight").unionAll(edges.select(F.col("dst").alias("v"), F.col("src").alias("n"), "weight"))
 
 
+def marks(edges: DataFrame) -> tuple:
+    """The number of distinct edges (x, y) and two sums of their hashes, by which tables are compared without a join."""
+    return tuple(edges.agg(F.count("*"), *(F.sum(F.xxhash64(F.lit(k), "x", "y").cast("decimal(38,0)")) for k in (1, 2))).first())
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(nid, comp): the smallest node of each node's component.
 
     Alternating star contraction: in turn each node links its larger neighbours, then its smaller ones,
-    to the smallest of all, until only stars are left; a logarithmic number of rounds in practice.
+    to the smallest of all, until only stars are left; a logarithmic number of rounds in practice. Tables
+    of past rounds are deleted.
     """
     rows = stored(edges.select(F.greatest("src", "dst").alias("x"), F.least("src", "dst").alias("y")).distinct())
+    mark = marks(rows)
     for _ in range(max_rounds):
         both = rows.unionAll(rows.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("of"), F.least("x", "m").alias("m"))
@@ -37,9 +44,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("x").agg(F.min("y").alias("m")).withColumnRenamed("x", "of")
         met = large.join(least, F.col("x") == F.col("of"))
         new = stored(met.select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").unionAll(met.select("x", F.col("m").alias("y"))).distinct())
-        same = new.count() == rows.count() and new.exceptAll(rows).isEmpty()
+        before, mark = mark, marks(new)
+        drop(rows, large)
         rows = new
-        if same:
+        if mark == before:
             return rows.select(F.col("x").alias("nid"), F.col("y").alias("comp")).unionAll(rows.select(F.col("y").alias("nid"), F.col("y").alias("comp")).distinct())
     raise RuntimeError("components didn't settle")
 

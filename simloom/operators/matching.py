@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simloom.operators.graph import components
-from simloom.scratch import stored
+from simloom.scratch import drop, scratch_folder, stored
 
 
 def _order():
@@ -32,19 +32,22 @@ def shm(pairs: DataFrame, k: int = 1000) -> DataFrame:
     return _top(_mutual(_ranked(pairs)), k)
 
 
-def smm(pairs: DataFrame, k: int = 1000, max_rounds: int = 1000) -> DataFrame:
+def smm(pairs: DataFrame, k: int = 1000) -> DataFrame:
     """Stable marriage. Both sides rank by one order, so it is unique: mutual best, then again among the rest.
 
-    The best pair of all is always mutual, so each round matches some; each is a stored table.
+    The best pair of all is always mutual, so each round matches some, and the rounds end however many
+    there are. What is left is a table of each round; the matches of all are appended to one.
     """
-    left, found = stored(_ranked(pairs)), None
-    for _ in range(max_rounds):
+    left, path = stored(_ranked(pairs)), scratch_folder(pairs.sparkSession)
+    while True:
         if left.isEmpty():
-            return _top(found if found is not None else left, k)
+            left.write.mode("append").parquet(path)  # there is a table, then, without any pair too
+            return _top(pairs.sparkSession.read.schema(left.schema).parquet(path), k)
         now = stored(_mutual(left))
-        found = now if found is None else found.unionByName(now)
-        left = stored(left.join(now.select("u"), "u", "left_anti").join(now.select("v"), "v", "left_anti"))
-    raise RuntimeError("the matching didn't settle")
+        now.write.mode("append").parquet(path)
+        rest = stored(left.join(now.select("u"), "u", "left_anti").join(now.select("v"), "v", "left_anti"))
+        drop(left, now)
+        left = rest
 
 
 def assign(weight: np.ndarray) -> list[int]:
@@ -86,11 +89,16 @@ def assign(weight: np.ndarray) -> list[int]:
     return out
 
 
-def mwm(pairs: DataFrame, k: int = 1000) -> DataFrame:
+#: Cells of the largest matrix that a task solves: 5,000 by 5,000 nodes, 200 MB and its like for costs.
+MOST_CELLS = 25_000_000
+
+
+def mwm(pairs: DataFrame, k: int = 1000, most_cells: int = MOST_CELLS) -> DataFrame:
     """The matching of largest total score that covers the whole smaller side; empty if there is none.
 
     A matching of the whole is one of each component, so each is solved by itself, and one component
-    that can't cover its part of the smaller side leaves no match at all.
+    that can't cover its part of the smaller side leaves no match at all. A component is a matrix in one
+    task; one of more than `most_cells` cells is refused, as shortest augmenting paths would take days.
     """
     rows = stored(_ranked(pairs))
     nu, nv = rows.agg(F.countDistinct("u"), F.countDistinct("v")).first()
@@ -99,6 +107,10 @@ def mwm(pairs: DataFrame, k: int = 1000) -> DataFrame:
     comps = components(ends).withColumnRenamed("nid", "src")
     keyed = rows.withColumn("src", F.col("u") * 2).join(comps, "src").select("comp", "u", "v", "score", "rounded")
 
+    cells = keyed.groupBy("comp").agg((F.countDistinct("u") * F.countDistinct("v")).alias("cells")).agg(F.max("cells")).first()[0] or 0
+    if cells > most_cells:
+        raise ValueError(f"a component of {cells} cells is too large to assign; raise the threshold of candidates or match by shm or smm")
+
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         a, b = ("u", "v") if by_u else ("v", "u")
         x, i = np.unique(part[a], return_inverse=True)
