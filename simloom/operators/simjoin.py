@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simloom.functions import bloom
@@ -48,16 +49,19 @@ def plain_edges(nodes: DataFrame, threshold: float, blocks: DataFrame | None = N
         both = _named(a, "a_", ["ci", "cj"]).join(_named(b, "b_", ["ci", "cj"]), ["ci", "cj"]).where("a_nid < b_nid")
         return _pairs(both, threshold)
     share = _share(threshold)
-    # one number a bigram, rare ones small: a set sorted by it has its rarest bigrams in front
+    # one number a bigram, rare ones small: a sorted set has its rarest bigrams in front. There are as
+    # many as pairs of letters in use, however many nodes there are, so one task numbers them.
     long = rows.select("nid", F.explode("grams").alias("gram"))
-    rank = long.groupBy("gram").agg(F.count("*").alias("f")).select("gram", F.struct("f", "gram").alias("token"))
-    sets = long.join(rank, "gram").groupBy("nid").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    sets = sets.withColumn("n", F.size("tokens")).withColumn("front", F.slice("tokens", 1, (F.col("n") - F.ceil(F.col("n") * share - _SLACK) + 1).cast("int")))
-    index = sets.select("nid", "n", F.transform("tokens", lambda t: t["gram"]).alias("grams"), "front", F.explode("front").alias("token"))
+    rank = long.groupBy("gram").agg(F.count("*").alias("f")).select("gram", F.row_number().over(W.orderBy("f", "gram")).alias("token"))
+    sets = long.join(rank, "gram").groupBy("nid").agg(F.array_sort(F.collect_list("token")).alias("grams")).withColumn("n", F.size("grams"))
+    front = F.slice("grams", 1, (F.col("n") - F.ceil(F.col("n") * share - _SLACK) + 1).cast("int"))
+    index = sets.select("nid", "n", "grams", F.explode(front).alias("token"))
     both = _named(index, "a_", ["token"]).join(_named(index, "b_", ["token"]), "token")
     fits = (F.col("a_nid") < F.col("b_nid")) & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * share - _SLACK)
-    own = F.array_min(F.array_intersect("a_front", "b_front")) == F.col("token")
-    return _pairs(both.where(fits).where(own), threshold)
+    # common bigrams stand in order: the first is the rarest, and lies in front of both sets of a pair at the threshold
+    met = both.where(fits).withColumn("common", F.array_intersect("a_grams", "b_grams")).where(F.get("common", F.lit(0)) == F.col("token"))
+    weight = (2.0 * F.size("common") / (F.col("a_n") + F.col("b_n"))).alias("weight")
+    return met.select(F.col("a_nid").alias("src"), F.col("b_nid").alias("dst"), weight).where(F.col("weight") >= threshold)
 
 
 def _pairs(both: DataFrame, threshold: float) -> DataFrame:
