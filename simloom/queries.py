@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.functions import bloom, estimators, text
+from simloom.functions import bloom, text
 from simloom.functions.murmur import murmur3
 from simloom.operators import blocking, candidates, evaluate, graph, graphwave, matching, neural, prepare, scaling, simjoin
 from simloom.plans import pipeline
@@ -89,7 +89,30 @@ def dedup_node_count(spark, sf):
 
 
 def ground_truth(spark, sf):
-    return prepare.ground_truth(plain(spark, sf), encoded(spark, sf)).select("nid", "u_key")
+    return prepare.ground_truth(plain(spark, sf), encoded(spark, sf)).select("nid", "u_key", "v_key")
+
+
+def ground_truth_all_rows(spark, sf):
+    keys = grams(spark, sf).select(F.col("row_idx").alias("nid"), text.gram_key(F.col("grams")).alias("key"))
+    filters = encoded_records(spark, sf).select(F.col("row_idx").alias("nid"), F.col("base64_bf").alias("key"))
+    return prepare.ground_truth(keys, filters, "all_rows").select("nid", "u_key", "v_key")
+
+
+def csv_scan(spark, sf):
+    """Records with quotes and line breaks in quoted fields, written as CSV and read back."""
+    path = f"{_folder(spark)}/records"
+    rows = part(spark, sf).select("row_idx", F.concat("p_name", F.lit('\n"'), "p_brand", F.lit('", ')).alias("name"), F.when(F.col("row_idx") % 3 != 0, F.col("p_type")).alias("kind"))
+    rows.repartitionByRange(1, "row_idx").sortWithinPartitions("row_idx").drop("row_idx").write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return source.read_records(spark, path)
+
+
+def dataset_names(spark, sf):
+    """Names of graphs' parameters, and what is read back from them, for a setting by region."""
+    keys = [x.r_regionkey for x in table(spark, sf, "region").select("r_regionkey").collect()]  # five rows
+    metas = [store.GraphMeta(k * 100 - 100, 0.4, k / 10, 0.25, k, ("fast", "egonet1", "egonet2", "all")[k % 4], k % 2 == 0, ("", "minmax", "standard")[k % 3], k % 2, 8 * (k % 2)) for k in keys]
+    rows = [(k, store.dataset_name(m), *(str(x) for x in vars(store.parse_name(store.dataset_name(m))).values())) for k, m in zip(keys, metas)]
+    fields = "record_count threshold removed_plain removed_encoded min_comp_size node_features node_count scaler lsh_count lsh_size".split()
+    return spark.createDataFrame(rows, "region long, name string, " + ", ".join(f"{x} string" for x in fields))
 
 
 def side_ids(spark, sf):
@@ -109,7 +132,7 @@ def bigrams_padded(spark, sf):
 
 
 def murmur_positions(spark, sf):
-    rows = grams(spark, sf).select(F.explode("grams").alias("gram")).distinct().select("gram", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("seed"))
+    rows = grams(spark, sf).select(F.explode("grams").alias("gram")).distinct().select("gram", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HASHES - 1).cast("long"))).alias("seed"))
     return rows.withColumn("hash", murmur3(F.col("gram"), F.col("seed"))).withColumn("pos", F.pmod("hash", F.lit(LENGTH)))
 
 
@@ -129,7 +152,7 @@ def bloom_decode(spark, sf):
 
 
 def hash_count_estimate(spark, sf):
-    n = estimators.hash_count(encoded(spark, sf), "bits", plain(spark, sf), "grams", LENGTH)
+    n = pipeline.estimated_hashes(part(spark, sf), encoded_records(spark, sf), ["p_name"], "base64_bf", LENGTH)
     return spark.range(1).select(F.lit(n).cast("long").alias("hashes"))
 
 
@@ -247,6 +270,10 @@ def graphwave_embedding(spark, sf):
     return _long(graphwave.graphwave(stored(edges(spark, sf))), "emb")
 
 
+def graphwave_unweighted(spark, sf):
+    return _long(graphwave.graphwave(stored(edges(spark, sf)), samples=(0, 50, 10), order=20, weighted=False), "emb")
+
+
 def sage_mean_propagate(spark, sf):
     own = stored(edges(spark, sf))
     return _long(neural.sage_mean(own, _vectors(spark, sf)), "mean")
@@ -262,7 +289,7 @@ def graphsage_embedding(spark, sf):
 
 
 def dgi_embedding(spark, sf):
-    return _long(neural.learned(stored(edges(spark, sf)), scaling.scale(_vectors(spark, sf), "standard"), "deepgraphinfomax", width=16), "emb")
+    return _long(neural.learned(stored(edges(spark, sf)), scaling.scale(_vectors(spark, sf), "standard"), "deepgraphinfomax", layers=(16,)), "emb")
 
 
 # ---------------------------------------------------------------- matching
@@ -284,8 +311,24 @@ def cosine_candidates_lsh(spark, sf):
 
 
 def weighted_cosine(spark, sf):
-    halves = [s.select("nid", F.slice("emb", 1, 32).alias("emb"), F.slice("emb", 33, 32).alias("emb2")) for s in sides(spark, sf)]
-    return candidates.cosine_pairs(*halves, COSINE, ["emb", "emb2"], [0.3, 0.7]).select("u", "v", r("cos"))
+    return candidates.cosine_pairs(*_halves(spark, sf), COSINE, ["emb", "emb2"], [0.3, 0.7]).select("u", "v", r("cos"))
+
+
+def _halves(spark, sf) -> list[DataFrame]:
+    return [s.select("nid", F.slice("emb", 1, 32).alias("emb"), F.slice("emb", 33, 32).alias("emb2")) for s in sides(spark, sf)]
+
+
+def weighted_cosine_lsh(spark, sf):
+    out = candidates.candidate_pairs(*_halves(spark, sf), COSINE, ["emb", "emb2"], [0.3, 0.7], 2, 3, seed=PLANE_SEED)
+    return out.select("u", "v", r("cos"))
+
+
+def channel_mixtures(spark, sf):
+    """Both channels' cosines, taken once, in three mixtures."""
+    both = candidates.cosine_pairs(*_halves(spark, sf), COSINE, ["emb", "emb2"], any_channel=True)
+    shares = F.explode(F.array(*(F.lit(x) for x in (0.0, 0.25, 0.75)))).alias("share")
+    rows = both.select("u", "v", shares, "cos_0", "cos_1").withColumn("cos", F.col("share") * F.col("cos_0") + (1 - F.col("share")) * F.col("cos_1"))
+    return rows.where(F.col("cos") >= COSINE).select("share", "u", "v", r("cos"))
 
 
 def rescore_edges(spark, sf):
@@ -344,9 +387,11 @@ def _folder(spark) -> str:
 
 
 def graph_store(spark, sf):
+    """The edges of both sides of a saved graph; a node's side is its id's last bit."""
     path, _ = _saved(spark, sf, _folder(spark))
     tables, _ = store.load_graph(spark, path)
-    return tables["edges"].where("src % 2 = 0").select((F.col("src") / 2).cast("long").alias("src"), (F.col("dst") / 2).cast("long").alias("dst"), r("weight"))
+    side = F.when(F.col("src") % 2 == 0, "u").otherwise("v").alias("side")
+    return tables["edges"].select(side, F.floor(F.col("src") / 2).cast("long").alias("src"), F.floor(F.col("dst") / 2).cast("long").alias("dst"), r("weight"))
 
 
 def alignment_run(spark, sf):
@@ -356,21 +401,51 @@ def alignment_run(spark, sf):
     return out.select("technique", "weight", F.col("k").cast("long").alias("k"), F.col("tp").cast("long").alias("tp"), r("precision"))
 
 
+#: What the result rows below hold besides precisions.
+SINK_VALUES = {
+    "file": "graphs/part", "dataset": "graphs", "record_count": 0, "threshold": THRESHOLD, "removed_records_plain": 0.1, "removed_records_encoded": 0.2, "node_features": "fast", "no_matches": 100,
+    "graph_matching_tech": "shm", "lsh_count_nm": 2, "lsh_size_nm": 3, "cos_sim_threshold": COSINE, "hyperplane_count": 1024, "min_comp_size": 3, "scaler": "standard", "vidanage_weights": (0.6, 0.3, 0.1), "lsh_count_blk": 0, "lsh_size_blk": 0,
+}
+TECHNIQUE_VALUES = {
+    "graphwave": {"type": "weighted", "weight": 1.0, "scales": [0.5, 2.0], "sample_points_linspace": (0, 100, 50), "order_approx": 30},
+    "graphsage": {"weight": 0.75, "layers": (256, 128), "num_samples": (10, 5), "number_of_walks": 1, "length": 5, "batch_size": 512, "epochs": 1},
+    "deepgraphinfomax": {"weight": 0.5, "layers": (512, 64), "activation": ("relu", "tanh"), "epochs": 20},
+}
+
+
 def result_sink(spark, sf):
+    """Every column of two rows of the features' result table."""
     folder = _folder(spark)
-    values = {"ks": KS, "file": "part", "dataset": "c0", "record_count": 0, "threshold": THRESHOLD}
-    row = results.result_row(precision_at_k(spark, sf), values, "features")
+    row = results.result_row(precision_at_k(spark, sf), {"ks": KS} | SINK_VALUES, "features")
     for _ in range(2):
         results.append(row, folder, "features_results")
-    return results.read_results(spark, folder, "features_results").select("file", "dataset", *(f"precision_{k}" for k in KS))
+    return results.read_results(spark, folder, "features_results")
+
+
+def result_sink_techniques(spark, sf):
+    """Every column of a row of each embedding's result table."""
+    folder, out = _folder(spark), None
+    found = stored(precision_at_k(spark, sf))
+    for technique, more in TECHNIQUE_VALUES.items():
+        results.append(results.result_row(found, {"ks": KS} | SINK_VALUES | more, technique), folder, f"{technique}_results", "csv")
+        rows = results.read_results(spark, folder, f"{technique}_results", "csv").withColumn("technique", F.lit(technique))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out.select("technique", *(c if not c.startswith("precision_") else F.col(c).cast("double").alias(c) for c in out.columns if c != "technique"))
+
+
+def timing_sink(spark, sf):
+    folder = _folder(spark)
+    for k, name in enumerate(("fast", "all", "fast")):
+        results.append_timing(spark, folder, k, THRESHOLD, name, 1.5 * k)
+    return spark.read.parquet(f"{folder}/performance/nf")
 
 
-NAMES = """head_slice tail_slice sample_exact dedup_node_count ground_truth side_ids bigrams bigrams_padded murmur_positions bloom_positions
+NAMES = """head_slice tail_slice sample_exact csv_scan dataset_names dedup_node_count ground_truth ground_truth_all_rows side_ids bigrams bigrams_padded murmur_positions bloom_positions
 bloom_popcount bloom_decode hash_count_estimate qgram_estimates sim_edges_plain sim_edges_wide sim_edges_all_pairs sim_edges_encoded
 lsh_block_keys block_stats sim_edges_blocked components filter_small_components edge_weight_stats degree_centrality egonet histo_1hop
-histo_2hop betweenness features_all scale_standard scale_minmax heat_kernel graphwave_embedding sage_mean_propagate gcn_propagate
-graphsage_embedding dgi_embedding hyperplane_buckets cosine_candidates cosine_candidates_lsh weighted_cosine rescore_edges match_shm match_smm
-match_mwm true_matches precision_at_k graph_store alignment_run result_sink""".split()
+histo_2hop betweenness features_all scale_standard scale_minmax heat_kernel graphwave_embedding graphwave_unweighted sage_mean_propagate gcn_propagate
+graphsage_embedding dgi_embedding hyperplane_buckets cosine_candidates cosine_candidates_lsh weighted_cosine weighted_cosine_lsh channel_mixtures rescore_edges match_shm match_smm
+match_mwm true_matches precision_at_k graph_store alignment_run result_sink result_sink_techniques timing_sink""".split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
