@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 
 from simloom.scratch import batch_rows, drop, scope, scratch_folder, stored
 
-__all__ = ["BLANK", "NO_ID", "batch_of", "batch_rows", "bytes_of", "doc_key", "drop", "lower_ascii", "partitions_for", "pieces", "row_hash", "scope", "scratch_folder", "stored", "whole_text"]
+__all__ = ["BLANK", "NO_ID", "batch_of", "batch_rows", "bucketed", "bytes_of", "doc_key", "drop", "lower_ascii", "partitions_for", "pieces", "row_hash", "scope", "scratch_folder", "stored", "whole_text"]
 
 #: Documents without an id sort after all others and share this internal id.
 NO_ID = 2**63 - 1
@@ -19,6 +21,21 @@ NO_ID = 2**63 - 1
 BLANK = " \t\n\x0b\x0c\r"
 
 
+@contextmanager
+def bucketed(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
+    """df as a table of the session's catalog, in the shared warehouse, bucketed and sorted by keys; it is dropped at the end.
+
+    Joins and aggregates on these keys read it without a shuffle, however often.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"simloom_{uuid.uuid4().hex}"
+    try:
+        df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).format("parquet").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def bytes_of(df: DataFrame) -> int:
     """The optimizer's estimate of df's size, or 0 if it has none (then it says 8 EB or some product of them)."""
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -34,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm._common import batch_rows, doc_key, drop, partitions_for, pieces, row_hash, scope, stored
+from simloom.llm._common import batch_rows, bucketed, doc_key, drop, partitions_for, pieces, row_hash, scope, stored
 from simloom.llm.substring_dedup import _mix, window_hashes, word_hashes
+from simloom.operators.graph import marks
 
 _U = np.uint64
 
@@ -327,7 +328,7 @@ def _dealt(leaves: DataFrame, chunk: int, set_bytes: int) -> DataFrame:
 _KEYS = ["leaf", "a", "b"]
 
 
-def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, depth: int = 3, small: int = 512, chunk: int = 512, set_bytes: int = 8 << 20, tokens: int = 128, seed: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, depth: int = 4, small: int = 512, chunk: int = 512, set_bytes: int = 8 << 20, tokens: int = 128, seed: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes, links and components.
 
     documents: (doc_id, did, th, f1, f2, n) with a row for each row of docs; th is a hash of the text.
@@ -341,22 +342,25 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc_key(id_col).alias("did"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text"))
     with scope(spark) as keep:
         with batch_rows(spark, _ROWS):
-            every = keep(stored(with_sets(base, size, [F.col("doc_id"), F.col("did"), F.col("th")], "tokens", tokens, seed)))
-        grouped = every.where("n > 0").groupBy("f1", "f2").agg(F.min("did").alias("did"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("low").alias("low"))
-        records = keep(stored(grouped.withColumnRenamed("f1", "fp")))
-        made, deepest, found = 0, depth, None
-        while made < (need := runs_for(threshold, deepest, recall, tokens)):
-            more, reached = leaves_of(records, threshold, range(made + 1, need + 1), small, tokens)
-            found = more if found is None else found.unionByName(more)
-            made, deepest = need, max(deepest, reached)
-        leaves = stored(found)
-        lists = leaves.groupBy(*_NODE).agg(F.collect_list("leaf").alias("leaves"))
-        sketched = records.select(*_NODE, "low").join(lists, _NODE)
-        linked = keep(_linked(base, every, records, leaves, sketched, size, threshold, least_agreeing(threshold, tokens), chunk, set_bytes, tokens))
-    return every.drop("tokens", "low"), records.drop("tokens", "low", "n"), linked
-
-
-def _linked(base: DataFrame, every: DataFrame, records: DataFrame, leaves: DataFrame, sketched: DataFrame, size: int, threshold: float, least: int, chunk: int, set_bytes: int, tokens: int) -> DataFrame:
+            wide = stored(with_sets(base, size, [F.col("doc_id"), F.col("did"), F.col("th")], "tokens", tokens, seed))
+        grouped = wide.where("n > 0").groupBy("f1", "f2").agg(F.min("did").alias("did"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("low").alias("low"))
+        # tokens are met by record at every level and in every block: they are dealt by record once
+        with bucketed(grouped.withColumnRenamed("f1", "fp"), *_NODE) as known:
+            every = keep(stored(wide.drop("tokens", "low")))
+            n = partitions_for(wide)
+            drop(wide)
+            made, deepest, found = 0, depth, None
+            while made < (need := runs_for(threshold, deepest, recall, tokens)):
+                more, reached = leaves_of(known, threshold, range(made + 1, need + 1), small, tokens)
+                found = more if found is None else found.unionByName(more)
+                made, deepest = need, max(deepest, reached)
+            leaves = stored(found)
+            linked = keep(_linked(base, every, known, leaves, size, threshold, least_agreeing(threshold, tokens), chunk, set_bytes, tokens, n))
+            records = keep(stored(known.drop("tokens", "low", "n")))
+    return every, records, linked
+
+
+def _linked(base: DataFrame, every: DataFrame, records: DataFrame, leaves: DataFrame, size: int, threshold: float, least: int, chunk: int, set_bytes: int, tokens: int, n: int) -> DataFrame:
     """links()'s third table: blocks of chunks propose pairs by their tokens' low bytes, then whole sets confirm them."""
     spark = base.sparkSession
 
@@ -383,9 +387,10 @@ def _linked(base: DataFrame, every: DataFrame, records: DataFrame, leaves: DataF
                 out = [[] for _ in schema]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    n = partitions_for(every)
+    sketched = records.select(*_NODE, "low").join(leaves.groupBy(*_NODE).agg(F.collect_list("leaf").alias("leaves")), _NODE)
     deal = _dealt(leaves, chunk, set_bytes).join(sketched, _NODE)
-    deal = deal.repartition(n, *_KEYS).sortWithinPartitions(*_KEYS).select(*_KEYS, "mine", *_NODE, "low", "leaves")
+    # of a record's leaves, those below this one can own its pairs
+    deal = deal.withColumn("leaves", F.filter("leaves", lambda x: x < F.col("leaf"))).repartition(n, *_KEYS).sortWithinPartitions(*_KEYS).select(*_KEYS, "mine", *_NODE, "low", "leaves")
     with batch_rows(spark, _ROWS):
         proposed = stored(deal.mapInArrow(propose, "leaf long, a long, b long, did long, fp long, bits binary"))
     drop(leaves)
@@ -393,7 +398,8 @@ def _linked(base: DataFrame, every: DataFrame, records: DataFrame, leaves: DataF
     wanted = stored(proposed.select(*_NODE).distinct())
     # one document of each wanted record gives its set
     named = every.select("did", "th", F.col("f1").alias("fp")).join(wanted, _NODE, "left_semi").groupBy(*_NODE).agg(F.min("th").alias("th"))
-    texts = base.join(stored(named).select("did", "th"), ["did", "th"], "left_semi").select("did", "th", "text").dropDuplicates(["did", "th"])
+    # the joins of whole texts have one plan at every size: both sides by id, however few rows are wanted
+    texts = base.join(stored(named).select("did", "th").hint("merge"), ["did", "th"], "left_semi").select("did", "th", "text").dropDuplicates(["did", "th"])
     with batch_rows(spark, _ROWS // 4):
         sets = stored(with_sets(texts, size, [F.col("did")], "set").select("did", F.col("f1").alias("fp"), "set"))
 
@@ -427,6 +433,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     fewer; each round is a table in the shared folder.
     """
     rows = stored(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+    mark = marks(rows)
     for _ in range(max_rounds):
         both = rows.unionAll(rows.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("of"), F.least("x", "m").alias("m"))
@@ -436,20 +443,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         met = large.join(least, F.col("x") == F.col("of"))
         small = met.select(F.col("y").alias("x"), F.col("m").alias("y")).where(F.col("x") != F.col("y")).unionAll(met.select("x", F.col("m").alias("y")))
         new = stored(small.distinct())
-        same = marks(new) == marks(rows)
+        before, mark = mark, marks(new)
         drop(rows, large)
         rows = new
-        if same:
+        if mark == before:
             return rows.select(F.col("x").alias("node"), F.col("y").alias("root"))
     raise RuntimeError("components didn't settle")
 
 
-def marks(edges: DataFrame) -> tuple:
-    """The number of distinct edges and two sums of their hashes, by which tables are compared without a join."""
-    parts = [F.sum(F.xxhash64(F.lit(k), "x", "y").cast("decimal(38,0)")) for k in (1, 2)]
-    return tuple(edges.agg(F.count("*"), *parts).first())
-
-
 def _node(did: str = "did", fp: str = "fp") -> Column:
     return F.struct(F.col(did).alias("did"), F.col(fp).alias("fp"))
 
@@ -500,7 +501,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         # texts of which no row stays as it is: none at all, or one of several
         out = keep(stored(texts.where("stays IS NULL OR rows > 1").select("did", "th", F.col("stays").isNotNull().alias("one"))))
     keyed = docs.select(F.struct("*").alias("row"), doc_key(id_col).alias("did"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), row_hash(docs).alias("rh"))
-    kept = keyed.join(out.select("did", "th"), ["did", "th"], "left_anti").select("row.*")
+    kept = keyed.join(out.select("did", "th").hint("merge"), ["did", "th"], "left_anti").select("row.*")
     # repeated rows meet in partial aggregates, however many there are
     one = keyed.join(out.where("one").select("did", "th"), ["did", "th"], "left_semi").groupBy("did", "th").agg(F.min_by("row", "rh").alias("row"))
     return kept.unionAll(one.select("row.*"))
