@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm._common import bytes_of, doc_key, partitions_for
+from simloom.llm._common import NO_ID, doc_key, partitions_for, scope, stored
 
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -165,20 +165,74 @@ _RANGE = pa.struct([("from", pa.int64()), ("to", pa.int64())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(_RANGE)), ("kept", pa.string())])
 
 
-def _numbered(dids: DataFrame, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Upper ends of the blocks' id ranges, and into how many parts each range is split.
+#: Parts that a range of ids is cut into where it holds too many bytes.
+_CUTS = 256
+#: Keys that a block sends a bucket on average, at least; blocks and buckets grow with the root of the input to keep it.
+_LEAST_KEYS = 16
 
-    An id that alone would fill several blocks gets a range of its own, split by a hash of the text.
+
+class Places:
+    """Which block a document belongs to: ascending ranges of ids of bounded bytes.
+
+    bins: (end, lowest id, highest id, bytes), ascending; a bin holds the ids up to its end. Small
+    bins next to each other share a block. A large one that holds one id alone (as that of rows
+    without any) is divided by a hash of the text, and these blocks have one rank.
+    """
+
+    def __init__(self, bins: list[tuple[int, int, int, int]], target: int):
+        self.ends = np.array([b[0] for b in bins[:-1]], np.int64)
+        rank, parts, at, room = [], [], -1, 0
+        for _, least, most, size in bins:
+            n = max(1, -(-size // target)) if least == most else 1
+            if at < 0 or n > 1 or size > room:
+                at, room = at + 1, target if n == 1 else 0
+            rank.append(at)
+            parts.append(min(n, 1 << _SUB))
+            room -= size
+        self.rank, self.parts = np.array(rank), np.array(parts)
+
+    def blocks(self, did: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        """Numbers of blocks: the rank, and in the low bits which of several of one rank."""
+        at = np.searchsorted(self.ends, did)
+        return (self.rank[at] << _SUB) + tie % self.parts[at]
+
+
+def refined(bins: list[tuple], target: int) -> tuple[list[int], bool]:
+    """Ends of bins, and whether any is new: those of bins (end, lowest, highest, bytes, quantiles) and, within
+    bins of more bytes than the target that hold several ids, their quantiles; an id that is several of them stands alone."""
+    ends, new = [], False
+    for end, least, most, size, cuts in bins:
+        if size > target and least < most:
+            own = {c for c in cuts if c < most} | {c - 1 for c in cuts if cuts.count(c) > 1 and c > least}
+            ends += sorted(own or {most - 1})
+            new = True
+        ends.append(end)
+    return sorted(set(ends)), new
+
+
+def _bins(rows: DataFrame, target) -> list[tuple[int, int, int, int]]:
+    """The bins of rows (did, text) for Places, none of several ids and more than target(all bytes) bytes.
+
+    Each pass over the ids, a narrow table, cuts the bins that are too large at their quantiles; a few
+    passes do, whatever the ids are. As many bins come to the driver as there are blocks, or a few times that.
     """
-    cuts = np.array(dids.approxQuantile("did", [k / blocks for k in range(1, blocks)], 0.2 / blocks) if blocks > 1 else [], float)
-    values, times = np.unique(cuts.astype(np.int64), return_counts=True)
-    ends: dict[int, int] = {}
-    for value, n in zip(values.tolist(), times.tolist()):
-        if n > 1:
-            ends.setdefault(value - 1, 1)
-        ends[value] = n
-    order = sorted(ends)
-    return np.array(order, np.int64), np.array([ends[x] for x in order] + [1], np.int64)
+    with scope(rows.sparkSession):
+        sizes = stored(rows.select("did", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size")))
+        ends = [NO_ID - 1, NO_ID]  # rows without an id are the last bin
+        cuts = F.percentile_approx("did", [k / _CUTS for k in range(1, _CUTS)], 10 * _CUTS)
+        while True:
+            held = rows.sparkSession.sparkContext.broadcast(np.array(ends, np.int64))
+
+            @F.pandas_udf("int")
+            def bin_of(did: pd.Series) -> pd.Series:
+                return pd.Series(np.searchsorted(held.value, did.to_numpy()))
+
+            found = sizes.withColumn("bin", bin_of("did")).groupBy("bin").agg(F.min("did"), F.max("did"), F.sum("size"), cuts).collect()
+            bins = [(ends[b], low, high, size, list(c)) for b, low, high, size, c in sorted(map(tuple, found))]
+            ends, new = refined(bins, target(sum(b[3] for b in bins)))
+            if not new:
+                return [b[:4] for b in bins]
+            ends = sorted({*ends, NO_ID - 1, NO_ID})
 
 
 def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 13, block_bytes: int = 8 << 20, bucket_windows: int = 2 << 20, blocks: int | None = None) -> DataFrame:
@@ -186,22 +240,26 @@ def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     removed: the maximal intervals of removed words, from (included) to (excluded). kept: the words
     that stay, joined by one space. Windows are judged on the input. A null text has no words, a
-    text of fewer than `size` words no window. A null id counts as larger than any other. Rows that
-    share an id are one document to each other: none is smaller. An empty table gives no rows.
+    text of fewer than `size` words no window. A null id counts as larger than any other (as does the
+    largest long). Rows that share an id are one document to each other: none is smaller. An empty
+    table gives no rows.
+
+    Blocks have about block_bytes of text, buckets about bucket_windows windows. Blocks times buckets
+    are rows, so from about 1 TB on both are enlarged alike, as the square root of the input, until a row holds
+    16 keys and more: about 80 MB and 20 million at 100 TB.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc_key(id_col).alias("did"), F.col(text_col).alias("text"))
     partitions = partitions_for(rows, 64 << 20)
-    n_bytes = bytes_of(rows)
-    blocks = blocks or max(partitions, n_bytes // block_bytes)
-    buckets = min(1 << 24, max(16, n_bytes // 3 // bucket_windows))
-    ends, parts = _numbered(rows.select("did"), blocks)
-    held = docs.sparkSession.sparkContext.broadcast((ends, parts))
+    grow = lambda n_bytes: max(1.0, (_LEAST_KEYS * n_bytes / (block_bytes * bucket_windows)) ** 0.5)
+    target = lambda n_bytes: max(1, min(int(block_bytes * grow(n_bytes)), -(-n_bytes // (blocks or partitions))))
+    bins = _bins(rows.select("did", "text"), target)
+    n_bytes = sum(b[3] for b in bins)
+    buckets = min(1 << 24, max(16, int(n_bytes / 6 / (bucket_windows * grow(n_bytes)))))
+    held = docs.sparkSession.sparkContext.broadcast(Places(bins, target(n_bytes)) if bins else None)
 
     @F.pandas_udf("long")
     def block_of(did: pd.Series, tie: pd.Series) -> pd.Series:
-        ends, parts = held.value
-        rank = np.searchsorted(ends, did.to_numpy())
-        return pd.Series((rank << _SUB) + tie.to_numpy() % parts[rank])
+        return pd.Series(held.value.blocks(did.to_numpy(), tie.to_numpy()))
 
     placed = rows.withColumn("block", block_of("did", F.pmod(F.xxhash64("text"), F.lit(1 << _SUB)))).repartition(partitions, "block")
 
@@ -237,7 +295,7 @@ def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         return pa.table([pa.array(c, f.type) for c, f in zip(out, _OUT)], schema=_OUT)
 
     ddl = lambda schema: ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in schema)
-    sent = placed.groupBy("block").applyInArrow(send, ddl(_KEYS))
+    sent = placed.groupBy("block").applyInArrow(send, ddl(_KEYS)).repartition(max(partitions, n_bytes // (128 << 20)), "bucket")
     answers = sent.groupBy("bucket").applyInArrow(answer, ddl(_BITS))
     out = "doc_id long, n_words long, n_removed long, removed array<struct<`from`:long,`to`:long>>, kept string"
     return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, out)
