@@ -8,6 +8,9 @@ run on level 0. Where a level has `fanout` runs they are merged into one run of
 batch meets at most (fanout - 1) * levels of them. As runs are bucketed by the join key, only the
 batch is shuffled, never the index.
 
+The texts are read twice: once to write the narrow lines, (id, hash of the text, position, hash of the
+key), on which all batches work, and once to take out what goes.
+
 No join is on a hash alone: whether a line stays is asked by (hash, document), so a line that a third
 of all documents share spreads over all tasks; owners are found by a partial aggregate.
 """
@@ -19,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm._common import BLANK, doc_key, lower_ascii, stored, whole_text
+from simloom.llm._common import BLANK, NO_ID, doc_key, lower_ascii, scope, stored, whole_text
 
 _HASH = ["h1", "h2"]
 
@@ -87,42 +90,53 @@ class LineIndex:
         self.levels = [[]]
 
 
-def line_drops(docs: DataFrame, index: LineIndex, min_chars: int = 10) -> DataFrame:
-    """One batch: (did, th, pos) of the lines that go; the batch's new keys join the index.
+def line_drops(lines: DataFrame, index: LineIndex) -> DataFrame:
+    """One batch of lines_of(): (did, th, pos) of the lines that go, a stored table; the batch's new keys join the index.
 
     All documents of the batch have larger ids than those the index has seen.
     """
-    lines = lines_of(docs, min_chars)
-    owners = lines.groupBy(*_HASH).agg(F.min("did").alias("did"))
-    new = stored(index.unseen(owners))
-    drops = stored(lines.join(new, [*_HASH, "did"], "left_anti").select("did", "th", "pos"))
-    index.add(new)
+    with scope(lines.sparkSession) as keep:
+        owners = lines.groupBy(*_HASH).agg(F.min("did").alias("did"))
+        new = stored(index.unseen(owners))
+        drops = keep(stored(lines.join(new, [*_HASH, "did"], "left_anti").select("did", "th", "pos")))
+        index.add(new)
     return drops
 
 
+def batch_ends(rows: DataFrame, batches: int) -> list[int]:
+    """Up to batches - 1 ascending ids, each the last of its batch. Rows without an id don't count and go last."""
+    if batches < 2:
+        return []
+    cuts = rows.where(F.col("did") < NO_ID).approxQuantile("did", [k / batches for k in range(1, batches)], 0.01)
+    return sorted({max(-(2**63), min(int(x), NO_ID - 1)) for x in cuts})  # as doubles, the largest ids round up
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3, index: LineIndex | None = None) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped, kept) for each row of docs.
 
     Lines are split at \\n; a null or empty text is one empty line. Keys of at least `min_chars` code
     points lose their lines in all documents but the smallest id that holds them. A null id counts as
-    larger than any other. Rows that share an id count as one document that holds the lines of all of
-    them. An empty table gives no rows. Other columns play no part. Pass an `index` to go on from
-    earlier batches; else a new one is made and dropped.
+    larger than any other (as does the largest long). Rows that share an id count as one document that
+    holds the lines of all of them. An empty table gives no rows. Other columns play no part. Pass an
+    `index` to go on from earlier batches; else a new one is made and dropped, also if a batch fails.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), doc_key(id_col).alias("did"), whole_text(text_col).alias("text"))
     own = index or LineIndex(spark, fanout)
-    cuts = sorted(set(rows.approxQuantile("did", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
-    edges = [None, *(int(x) for x in cuts), None]
-    drops = None
-    for low, high in zip(edges, edges[1:]):
-        part = rows if low is None else rows.where(F.col("did") > low)
-        part = part if high is None else part.where(F.col("did") <= high)
-        found = line_drops(part.select("did", "text"), own, min_chars)
-        drops = found if drops is None else drops.unionAll(found)
-    if index is None:
-        own.drop()
-    gone = drops.groupBy("did", "th").agg(F.collect_set("pos").alias("gone"))
+    edges = [None, *batch_ends(rows.select("did"), batches), None]
+    try:
+        with scope(spark) as keep:
+            lines = stored(lines_of(rows.select("did", "text"), min_chars))
+            drops = None
+            for low, high in zip(edges, edges[1:]):
+                part = lines if low is None else lines.where(F.col("did") > low)
+                part = part if high is None else part.where(F.col("did") <= high)
+                found = line_drops(part, own)
+                drops = found if drops is None else drops.unionAll(found)
+            gone = keep(stored(drops.groupBy("did", "th").agg(F.collect_set("pos").alias("gone"))))
+    finally:
+        if index is None:
+            own.drop()
     split = rows.withColumn("th", F.xxhash64("text")).join(gone, ["did", "th"], "left").withColumn("lines", F.split("text", "\n", -1))
     left = split.withColumn("left", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("left", lambda i: F.col("lines")[i]), "\n"))

@@ -63,3 +63,21 @@ def test_no_python_in_the_plan(spark, sf):
     out = ld.op2_line_dedup(spark.read.parquet(f"{sf}/documents.parquet"))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize("ids", ["half", "all", "ends"])
+def test_many_null_and_extreme_ids(spark, ids):
+    n = 40
+    pick = {"half": lambda i: i if i % 2 else None, "all": lambda i: None, "ends": lambda i: (-(2**63), -(2**63) + 1, 2**63 - 2, 2**63 - 1, 0, None)[i % 6]}[ids]
+    rows = [(pick(i), f"the line number {i % 7} of many\nshort\nthe line of {i // 2} alone") for i in range(n)]
+    out = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches=4)
+    got = [(x.doc_id, x.n_lines, x.n_dropped, hashlib.sha256(x.kept.encode()).hexdigest()) for x in out.collect()]
+    assert sorted(got, key=str) == brute(rows)
+
+
+def test_tables_go_when_a_batch_fails(spark, monkeypatch):
+    before = {x.name for x in spark.catalog.listTables()}
+    monkeypatch.setattr(ld.LineIndex, "unseen", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ld.dedup_lines(spark.createDataFrame(ROWS, "doc_id long, text string"))
+    assert {x.name for x in spark.catalog.listTables()} == before
