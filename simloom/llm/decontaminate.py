@@ -104,7 +104,7 @@ def search(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", tex
     rows = docs.select((F.col(id_col) if keep is None else keep).alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
-    def scan(tables: list[Searcher] | None, first: bool):
+    def scan(tables: list[Searcher] | None, first: bool, last: bool = False):
         held = spark.sparkContext.broadcast(tables or [])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +119,8 @@ def search(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", tex
                         x.find(words, hit, items)
                     for column, x in zip(out, (len(words), bytes(hit) if items else None, sorted(items))):
                         column.append(x)
-                keys, texts = batch.column(0), batch.column(1)
-                yield pa.RecordBatch.from_arrays([keys, texts, *(pa.array(x, f.type) for x, f in zip(out, _FOUND_ARROW))], names=["key", "text", *(f.name for f in _FOUND_ARROW)])
+                own = batch.columns[: 1 if last else 2]  # the last pass leaves the texts behind
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, f.type) for x, f in zip(out, _FOUND_ARROW))], names=[*("key", "text")[: len(own)], *(f.name for f in _FOUND_ARROW)])
 
         return run
 
@@ -129,7 +129,7 @@ def search(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", tex
         if waiting is not None:  # one more block: what is found so far goes to the shared folder
             found = stored(found.mapInArrow(scan(*waiting), f"key {kind}, text string, {_FOUND}"))
         waiting = (tables, waiting is None)
-    return found.mapInArrow(scan(*(waiting or (None, True))), f"key {kind}, text string, {_FOUND}").drop("text")
+    return found.mapInArrow(scan(*(waiting or (None, True)), last=True), f"key {kind}, {_FOUND}")
 
 
 def contaminated(n_words: Column, n_hit: Column, share: int = 20) -> Column:

@@ -47,3 +47,19 @@ def test_empty_tables_and_filter_keep_columns(spark):
     assert d.remove_contaminated(docs, bench).collect() == [(2, "clean words", None)]
     assert d.remove_contaminated(docs, bench.limit(0)).count() == 2
     assert d.digest(d.search(docs.limit(0), bench)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """A passage at the start, in the middle and at the end of a text of 300,000 words, and nearly one everywhere."""
+    clean = " ".join(f"w{i}" for i in range(100_000))
+    near = " ".join([A[:-4] + "barn"] * 20_000)
+    rows = [(1, f"{A} {clean} {A} {clean} {clean} {A}"), (2, near), (3, "the " * 200_000), (4, "x" * 2_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([ITEMS[0]], "item_id long, text string")
+    got = {x.doc_id: (x.n_words, x.n_hit, x.n_items) for x in d.digest(d.search(docs, bench)).collect()}
+    n = len(words(A))
+    shared = len(words(A[:-4])) + 1
+    first = 20_000 * (n - 1) if n - 1 >= 13 else 0
+    assert got[1] == (300_000 + 3 * n, 3 * n, 1)
+    assert got[2] == (20_000 * shared, first, int(first > 0))
+    assert got[3] == (200_000, 0, 0) and got[4] == (1, 0, 0)

@@ -49,3 +49,11 @@ def test_empty_tables_and_default(spark):
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
     assert u.judge(pages, rules.limit(0), default="block").collect()[0].verdict == "block"
     assert u.judge(pages.limit(0), rules).count() == 0
+
+
+def test_very_long_urls(spark):
+    rows = ["x://" + "a." * 200_000 + "example.com/en/" + "p" * 300_000, "x://com/" + "q" * 1_000_000, "h" * 500_000, "x://" + "b" * 400_000]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    got = [tuple(x) for x in u.judge(pages, rules).collect()]
+    assert sorted(got) == sorted((i, *brute(x, RULES)) for i, x in enumerate(rows))
