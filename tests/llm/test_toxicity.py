@@ -58,3 +58,55 @@ def test_the_risk_corrects_for_positives_in_the_unlabelled():
     model = t.fit(p, u, 0.4, sure=0)
     assert 1 / (1 + np.exp(-(model.bias + model.weights[1] + model.weights.get(2, 0)))) > 0.9  # the share of positives among those with word 1
     assert 1 / (1 + np.exp(-(model.bias + model.weights.get(2, 0)))) < 0.3
+
+
+def brute_risk(w, b, positive, unlabelled, prior):
+    """Both parts of the risk from the definition, document by document."""
+    loss = lambda x: np.log1p(np.exp(-x))
+    f = lambda doc: b + sum(w[i] for i in doc)
+    plus = prior * np.mean([loss(f(x)) for x in positive])
+    return plus, np.mean([loss(-f(x)) for x in unlabelled]) - prior * np.mean([loss(-f(x)) for x in positive])
+
+
+def test_risk_and_its_gradient():
+    rng = np.random.default_rng(3)
+    words, seen = np.arange(6), set()
+    for trial in range(40):
+        positive = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(9)]
+        unlabelled = [np.flatnonzero(rng.random(6) < 0.3) for _ in range(14)]
+        p, u = t._Rows(positive, words), t._Rows(unlabelled, words)
+        w, b, prior = rng.normal(0, 2, 6), rng.normal(0, 3), 0.6
+        of = lambda w, b: brute_risk(w, b, positive, unlabelled, prior)
+        plus, minus, g = t.risk(w, b, p, np.arange(9), u, np.arange(14), prior)
+        assert np.allclose((plus, minus), of(w, b))
+        seen.add(minus < 0)
+        part = (lambda w, b: sum(of(w, b))) if minus >= 0 else (lambda w, b: -of(w, b)[1])  # below zero the step is against that part alone
+        for k in range(7):
+            e = np.eye(7)[k] * 1e-5
+            slope = (part(w + e[:6], b + e[6]) - part(w - e[:6], b - e[6])) / 2e-5
+            assert abs(slope - g[k]) < 1e-6
+    assert seen == {True, False}
+
+
+def test_counts_and_chosen_words_equal_brute_force(spark, monkeypatch):
+    rows, labels = corpus(600)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang int")
+    sure = {i for i, y in labels if y and zlib.crc32(str(i).encode()) % 5}
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    got = {x.word: (x.p, x.u) for x in t.word_counts(docs.select("doc_id", "text").where(t.fold() != 0), frozenset(sure)).collect()}
+    assert got.pop(None) == (len(sure), len(train))
+    words = {r[0]: t.word_ids(r[1]) for r in train}
+    assert got == {w: (sum(w in words[i] for i in sure), sum(w in x for x in words.values())) for w in set().union(*words.values())}
+    seen = []
+    monkeypatch.setattr(t, "fit", lambda p, u, prior, words: seen.append((p, u, words)))
+    t.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    (p, u, chosen), = seen
+    lists = lambda ids: [np.array(sorted(words[i]), np.int64) for i in ids]
+    assert chosen.tolist() == t.screen(lists(sorted(sure)), lists(sorted(words)), 3, 4096, 5.0).tolist()
+    assert [x.tolist() for x in p] == [sorted(words[i] & set(chosen.tolist())) for i in sorted(sure)] and len(u) == len(train)
+
+
+def test_the_sample_is_bounded_by_ids(spark):
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows * 5, "doc_id long, text string, lang int")
+    assert len(t._sample(docs.select("doc_id", "text"), np.array([], np.int64))) == 300
