@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm._common import batch_of, pieces, stored
+from simloom.llm._common import batch_of, pieces, scope, stored
 
 #: Kinds in the order in which spans of one start are listed; the last is the method's own.
 KINDS = ("assign", "access", "hex", "guess")
@@ -33,7 +33,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Contexts of the method; each has the value as its only group.
 CONTEXTS = (
-    re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[ _-]?key|credentials?|access[ _-]?key)["']?\s{0,4}(?:is|are|was|[:=]>?|->)\s{0,4}["'`]?([^\s"'`,;<>]{6,})""", re.I | re.A),
+    re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[ _-]?key|credentials?|access[ _-]?key)["']?\s*(?:is|are|was|[:=]>?|->)\s*["'`]?([^\s"'`,;<>]{6,})""", re.I | re.A),
     re.compile(r"""(?:bearer|basic)\x20+([A-Za-z0-9+/_.=~-]{12,})""", re.I | re.A),
     # user and password of any length, the user may be missing; linear, as neither goes beyond a slash
     re.compile(r"""://[^\s/:@]*:([^\s/@]{6,})@"""),
@@ -202,10 +202,17 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]], cost: float, word
     """
     found = {(m.start(1), 3, m.end(1)) for context in CONTEXTS for m in context.finditer(text)}
     out: list[tuple[int, int, int]] = []
+    # one merge of both sorted lists: the base spans that start before b, and the furthest end of those
+    at, reach = 0, 0
     for a, kind, b in sorted(found):
         while b > a and text[b - 1] in ".)]}":
             b -= 1
-        if any(x < b and a < y for x, _, y in base) or out and a < out[-1][2]:
+        if out and a < out[-1][2]:
+            continue
+        while at < len(base) and base[at][0] <= a:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach > a or at < len(base) and base[at][0] < b:
             continue
         value = text[a:b]
         if len(value) >= 6 and guess_cost(value, words)[0] >= (max(cost, ONE_CASE) if one_case(value) else cost):
@@ -248,9 +255,10 @@ def corpus_words(rows: DataFrame, least: int = LEAST, share: int = SHARE) -> Wor
                 counts.clear()
         yield batch_of(schema, list(counts.items()))
 
-    counted = stored(rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counted.where("word = ''").first()
-    found = counted.where((F.col("word") != "") & (F.col("n") >= max(least, -(-(total.n if total else 0) // share)))).toArrow()
+    with scope(rows.sparkSession):
+        counted = stored(rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+        total = counted.where("word = ''").first()
+        found = counted.where((F.col("word") != "") & (F.col("n") >= max(least, -(-(total.n if total else 0) // share)))).toArrow()
     pairs = sorted(zip(found["n"].to_pylist(), found["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
     return Words([w for _, w in pairs])
 

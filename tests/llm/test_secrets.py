@@ -122,10 +122,13 @@ def test_the_minimum_with_runs_walks_and_dates_from_any_start():
 
     words = s.Words(["sdf", "abc", "ab", "aa"])
 
-    def kinds(p):  # the cost of each kind that a segment can be
+    def kinds(own):  # the cost of each kind that a segment can be
+        p = own.lower()
         steps = {ord(b) - ord(a) for a, b in zip(p, p[1:])}
         if p in words.ranks:
-            yield math.log10(words.ranks[p])
+            yield math.log10(words.ranks[p]) + (own != p) * math.log10(2)
+        elif p.translate(s._LEET) in words.ranks:
+            yield math.log10(words.ranks[p.translate(s._LEET)]) + math.log10(4)
         if s._DATE.fullmatch(p):
             yield math.log10(120 if len(p) == 4 else 365 * 120)
         if len(p) >= 3 and len(set(p)) == 1:
@@ -148,11 +151,23 @@ def test_the_minimum_with_runs_walks_and_dates_from_any_start():
     assert s.guess_cost("passwordsdfghjk")[0] < 5
     assert s.segments("passwordsdfghjk")[0] == ("word", 0, 8)
     rng = random.Random(4)
-    parts = ["password", "dragon", "sdfghj", "rewq", "abcdef", "cba", "321", "123", "aaa", "111111", "2010", "1999", "7", "x", "k"]
-    for _ in range(1500):
+    parts = ["password", "dragon", "sdfghj", "rewq", "abcdef", "cba", "321", "123", "aaa", "111111", "2010", "1999", "7", "x", "k", "P4ssw0rd", "DRAGON", "Q", "#", "20120317", "é"]
+    for _ in range(10_000):
         value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
         cost, cuts = s.guess_cost(value, words)
         assert abs(cost - least(value)) < 1e-9, value
         assert [a for _, a, _ in cuts] == [0, *(b for _, _, b in cuts)][:-1] and cuts[-1][2] == len(value)
     for value in ("a" * 200_000, "qw" * 100_000, "abc" * 50_000, "123456789" * 20_000):
         assert s.guess_cost(value, words)[0] > 0  # linear: these end
+
+
+def test_spans_of_texts_full_of_matches_are_merged_in_one_pass():
+    line = "password=abcdefgh12 the passphrase is xK9#mQ2$vL7p! and 0123456789abcdef0123456789abcdef "
+    text = line * 20_000
+    base = s.base_spans(text)
+    own = s.guessed_spans(text, base, 9.0)
+    assert len(base) == 40_000 and len(own) == 20_000
+    first = [(a, k, b) for a, k, b in own if b <= len(line)]
+    assert [(a + len(line) * i, k, b + len(line) * i) for i in range(20_000) for a, k, b in first] == own
+    spread = "password   " + " " * 50_000 + "is" + "\n" * 9 + "xK9#mQ2$vL7p!"
+    assert found_in(spread) == ["xK9#mQ2$vL7p!"]
