@@ -9,24 +9,26 @@ documents. Each measure uses the strictest cutoff that rejects at most its equal
 count with which a set is valid; together they reject no more than that count. With probability
 `1 - level`, the rules of no stratum reject more than `risk` of its good documents.
 
-Strata with fewer good labels than a two-hundredth of all share one stratum, so there are at most 201
-and their cutoffs, a few numbers each, can be broadcast.
+Each stratum learns from its own labels, however few or many these are among all. One whose good
+labels don't suffice for any cutoff (about 1,100 do) is judged by the base rules alone: no bound would
+hold for cutoffs taken from elsewhere. A null stratum is one as any other.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm._common import BLANK, stored, whole_text
+from simloom.llm._common import BLANK, scope, stored, whole_text
 
 #: The measures that cutoffs are learned for, each the larger the worse, and the steps they are tried at.
 MEASURES = ("symbol_share", "dup_line_share", "repeat_share", "short_words", "long_words")
 GRID = tuple(round(x / 100, 2) for x in (*range(0, 20, 1), *range(20, 101, 5)))
 SYMBOLS = "#*$%&|<>"
-_REST = "\x00rest"
+#: Strata with cutoffs that are broadcast, a few numbers each; more of them are joined by a shuffle.
+MOST_BROADCAST = 10_000
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -112,43 +114,39 @@ def cutoffs(holdout: DataFrame, *, risk: float = 0.02, level: float = 0.05, grid
     """(stratum, and the cutoff of each measure, null where none is valid) from labelled documents.
 
     holdout has stratum, quality and the measures. Only good documents that the base rules pass count.
+    Strata without a valid cutoff have no row.
     """
     good = holdout.where(F.col("quality") == 1)
-    total = good.groupBy("stratum").agg(F.count("*").alias("n"))
-    per = F.sum("n").over(Window.partitionBy())
-    own = total.withColumn("home", F.when(F.col("stratum").isNotNull() & (F.col("n") * 200 >= per), F.col("stratum")).otherwise(F.lit(_REST)))
-    homes = own.groupBy("home").agg(F.sum("n").alias("n"))
-    counts = good.groupBy("stratum").agg(*(F.count(F.when(F.col(m) > c, 1)).alias(f"{m}/{i}") for m in MEASURES for i, c in enumerate(grid)))
-    counts = counts.join(own.select("stratum", "home"), counts["stratum"].eqNullSafe(own["stratum"])).groupBy("home").agg(*(F.sum(f"`{m}/{i}`").alias(f"{m}/{i}") for m in MEASURES for i in range(len(grid))))
-    tests = F.count("*").over(Window.partitionBy()) * F.lit((len(grid) + 1.0) ** len(MEASURES))  # a measure may have no cutoff
-    long = counts.join(homes, "home").withColumn("tests", tests)
-    long = long.select("home", "n", "tests", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(float(c)).alias("cutoff"), F.col(f"`{m}/{i}`").alias("k")) for m in MEASURES for i, c in enumerate(grid)))).alias("t"))
-    valid = long.where(binomial_tail(F.col("t.k") * len(MEASURES), F.col("n"), risk) <= F.lit(level) / F.col("tests"))
-    return valid.groupBy("home").agg(*(F.min(F.when(F.col("t.measure") == m, F.col("t.cutoff"))).alias(f"max_{m}") for m in MEASURES))
+    above = [F.count(F.when(F.col(m) > c, 1)).alias(f"{m}/{i}") for m in MEASURES for i, c in enumerate(grid)]
+    counts = stored(good.groupBy("stratum").agg(F.count("*").alias("n"), *above))
+    tests = counts.count() * (len(grid) + 1.0) ** len(MEASURES)  # a measure may have no cutoff
+    tried = F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(float(c)).alias("cutoff"), F.col(f"`{m}/{i}`").alias("k")) for m in MEASURES for i, c in enumerate(grid)))
+    long = counts.select("stratum", "n", F.explode(tried).alias("t"))
+    valid = long.where(binomial_tail(F.col("t.k") * len(MEASURES), F.col("n"), risk) <= F.lit(level / max(1.0, tests)))
+    return valid.groupBy("stratum").agg(*(F.min(F.when(F.col("t.measure") == m, F.col("t.cutoff"))).alias(f"max_{m}") for m in MEASURES))
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, stratum_col: str = "lang", risk: float = 0.02, level: float = 0.05) -> DataFrame:
-    """docs as `row`, with the counts, base_failed and kept.
+    """(doc_id, stratum, the counts, n_lines, base_failed, the measures, kept) with a row for each row of docs.
 
     labels has doc_id and quality (1 or 0; of several for a document the smallest counts, a null says
-    nothing). Without labels there are no cutoffs, and the base rules alone decide. A stratum without
-    good labels, a null one too, uses the cutoffs of the rest.
+    nothing). Without labels there are no cutoffs, and the base rules alone decide; so they do for
+    strata that the labels don't hold. A null or empty text fails the base rules, repeated rows are
+    judged alike, an empty table gives no rows, and other columns play no part.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
-    # narrow counts of all documents are stored once: they serve both the holdout and the verdicts
-    table = stored(measured(docs.select("doc_id", F.col(stratum_col).alias("stratum"), "text")).select("row.doc_id", "row.stratum", *COUNTS, "n_lines", base_failed().alias("base_failed")).select("*", *shares()))
-    holdout = table.where(~F.col("base_failed")).join(known, F.col("doc_id").cast("long") == F.col("id")).select("stratum", "quality", *MEASURES)
-    found = stored(cutoffs(holdout, risk=risk, level=level))  # at most 201 rows
-    stratum = F.coalesce(F.col("stratum"), F.lit(_REST))
-    names = [f"max_{m}" for m in MEASURES]
-    own = found.select(F.col("home"), *(F.col(x) for x in names))
-    rest = found.where(F.col("home") == _REST).select(F.lit(1).alias("one"), *(F.col(x).alias(f"{x}_rest") for x in names))
-    out = table.join(F.broadcast(own), stratum == F.col("home"), "left").join(F.broadcast(rest), F.lit(True), "left")
-    above = [F.coalesce(F.col(m) > F.when(F.col("home").isNull(), F.col(f"max_{m}_rest")).otherwise(F.col(f"max_{m}")), F.lit(False)) for m in MEASURES]
-    rejected = above[0]
-    for x in above[1:]:
-        rejected = rejected | x
-    return out.withColumn("kept", ~F.col("base_failed") & ~rejected)
+    with scope(docs.sparkSession) as keep:
+        # narrow counts of all documents are stored once: they serve both the holdout and the verdicts
+        wide = measured(docs.select("doc_id", F.col(stratum_col).alias("stratum"), "text")).select("row.doc_id", "row.stratum", *COUNTS, "n_lines", base_failed().alias("base_failed"))
+        table = keep(stored(wide.select("*", *shares())))
+        holdout = table.where(~F.col("base_failed")).join(known, F.col("doc_id").cast("long") == F.col("id")).select("stratum", "quality", *MEASURES)
+        found = keep(stored(cutoffs(holdout, risk=risk, level=level).withColumnRenamed("stratum", "home")))
+    rules = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
+    out = table.join(rules, F.col("stratum").eqNullSafe(F.col("home")), "left")
+    rejected = F.lit(False)
+    for m in MEASURES:
+        rejected = rejected | F.coalesce(F.col(m) > F.col(f"max_{m}"), F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("home", *(f"max_{m}" for m in MEASURES))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

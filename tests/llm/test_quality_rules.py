@@ -86,3 +86,61 @@ def test_the_risk_is_that_of_all_measures_together(spark):
         gone = sum(share for m in q.MEASURES if cut[m] is not None and cut[m] < 0.5)
         assert gone <= 0.02 * 40_000
         assert not strict or set(cut.values()) == {0.0}
+
+
+def log_tail(k, n, p):
+    """log P(X <= k) of a binomial(n, p), from exact terms."""
+    if k >= n * p:
+        return 0.0
+    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
+    top = max(terms)
+    return top + math.log(sum(math.exp(t - top) for t in terms))
+
+
+def brute_cutoffs(rows, risk=0.02, level=0.05):
+    """stratum -> cutoffs by the definition. rows: (stratum, quality, measures)."""
+    good = {}
+    for stratum, quality, x in rows:
+        if quality == 1:
+            good.setdefault(stratum, []).append(x)
+    tests = len(good) * (len(q.GRID) + 1) ** len(q.MEASURES)
+    out = {}
+    for stratum, xs in good.items():
+        own = []
+        for m in range(len(q.MEASURES)):
+            fine = [c for c in q.GRID if log_tail(len(q.MEASURES) * sum(x[m] > c for x in xs), len(xs), risk) <= math.log(level / tests)]
+            own.append(min(fine, default=None))
+        if any(c is not None for c in own):
+            out[stratum] = own
+    return out
+
+
+def drawn(rng, n, share):
+    """n good documents; each measure is 0 but in that share of them."""
+    return [[rng.random() if rng.random() < share else 0.0 for _ in q.MEASURES] for _ in range(n)]
+
+
+def test_chosen_cutoffs_equal_brute_force(spark):
+    """Strata of many and of few labels, a null one, and one that is a small part of all but has enough."""
+    rng = random.Random(6)
+    rows = []
+    for stratum, n, share in (("en", 6000, 0.004), ("de", 2500, 0.002), (None, 1800, 0.0), ("fr", 900, 0.0), ("small", 1500, 0.0005), ("bad", 3000, 0.2), ("big", 400_000 // 40, 0.01)):
+        rows += [(stratum, int(rng.random() < 0.95), x) for x in drawn(rng, n, share)]
+    table = spark.createDataFrame([(s, y, *x) for s, y, x in rows], "stratum string, quality int, " + ", ".join(f"{m} double" for m in q.MEASURES))
+    got = {x.stratum: [getattr(x, f"max_{m}") for m in q.MEASURES] for x in q.cutoffs(table).collect()}
+    want = brute_cutoffs(rows)
+    assert got == want and {"en", None, "small"} < set(want) and "fr" not in want
+
+
+def test_joint_false_rejection_keeps_the_risk():
+    """Over drawn holdouts, the rules that are chosen reject more than the risk of good documents in fewer than a twentieth."""
+    rng = random.Random(7)
+    broken = decided = 0
+    for trial in range(60):
+        share = (0.001, 0.004, 0.02)[trial % 3]
+        found = brute_cutoffs([("s", 1, x) for x in drawn(rng, 2500, share)]).get("s")
+        if found:
+            decided += 1
+            kept = math.prod(1 - share * (1 - c) for c in found if c is not None)
+            broken += 1 - kept > 0.02
+    assert decided >= 30 and broken <= 0.05 * 60
