@@ -147,7 +147,7 @@ def children(paths: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[n
 def candidates(low: np.ndarray, leaf: int, leaves: list[np.ndarray], side: np.ndarray | None, least: int) -> np.ndarray:
     """Pairs (i < j) of a block whose tokens agree often enough and that this leaf owns, as a matrix.
 
-    low: the tokens' low bytes. leaves: all leaves of each record. side: the record's chunk where the
+    low: the tokens' low bytes. leaves: of each record, those below this one at least. side: the record's chunk where the
     block is of two chunks, else None. The smallest leaf that a pair shares owns it.
     """
     n = len(low)
@@ -314,12 +314,13 @@ def leaves_of(records: DataFrame, threshold: float, runs: range, small: int, tok
         rows = large.groupBy(*_NODE).agg(F.collect_list(F.struct("leaf", F.col("n").alias("above"))).alias("nodes")).join(every, _NODE)
 
 
-def _dealt(leaves: DataFrame, chunk: int, set_bytes: int) -> DataFrame:
+def _dealt(leaves: DataFrame, small: int, chunk: int, set_bytes: int) -> DataFrame:
     """(leaf, a, b, mine, did, fp): each record in each block, a pair of chunks a <= b of its leaf.
 
-    A chunk has about `chunk` records, and sets of about `set_bytes` bytes, at most.
+    A chunk of a leaf has about `chunk` records, or up to `small` where it is the only one, and sets of
+    about `set_bytes` bytes, at most.
     """
-    k = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("shingles") * 8 / set_bytes))
+    k = F.greatest(F.when(F.col("n") <= small, F.lit(1)).otherwise(F.ceil(F.col("n") / chunk)), F.ceil(F.col("shingles") * 8 / set_bytes))
     own = F.pmod(F.xxhash64(*_NODE), k)
     rows = leaves.withColumn("k", k).withColumn("mine", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     return rows.select("leaf", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", *_NODE)
@@ -328,7 +329,7 @@ def _dealt(leaves: DataFrame, chunk: int, set_bytes: int) -> DataFrame:
 _KEYS = ["leaf", "a", "b"]
 
 
-def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, depth: int = 4, small: int = 512, chunk: int = 512, set_bytes: int = 8 << 20, tokens: int = 128, seed: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, depth: int = 4, small: int = 512, chunk: int = 256, set_bytes: int = 8 << 20, tokens: int = 128, seed: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes, links and components.
 
     documents: (doc_id, did, th, f1, f2, n) with a row for each row of docs; th is a hash of the text.
@@ -355,12 +356,12 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
                 found = more if found is None else found.unionByName(more)
                 made, deepest = need, max(deepest, reached)
             leaves = stored(found)
-            linked = keep(_linked(base, every, known, leaves, size, threshold, least_agreeing(threshold, tokens), chunk, set_bytes, tokens, n))
+            linked = keep(_linked(base, every, known, leaves, size, threshold, least_agreeing(threshold, tokens), small, chunk, set_bytes, tokens, n))
             records = keep(stored(known.drop("tokens", "low", "n")))
     return every, records, linked
 
 
-def _linked(base: DataFrame, every: DataFrame, records: DataFrame, leaves: DataFrame, size: int, threshold: float, least: int, chunk: int, set_bytes: int, tokens: int, n: int) -> DataFrame:
+def _linked(base: DataFrame, every: DataFrame, records: DataFrame, leaves: DataFrame, size: int, threshold: float, least: int, small: int, chunk: int, set_bytes: int, tokens: int, n: int) -> DataFrame:
     """links()'s third table: blocks of chunks propose pairs by their tokens' low bytes, then whole sets confirm them."""
     spark = base.sparkSession
 
@@ -388,7 +389,7 @@ def _linked(base: DataFrame, every: DataFrame, records: DataFrame, leaves: DataF
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     sketched = records.select(*_NODE, "low").join(leaves.groupBy(*_NODE).agg(F.collect_list("leaf").alias("leaves")), _NODE)
-    deal = _dealt(leaves, chunk, set_bytes).join(sketched, _NODE)
+    deal = _dealt(leaves, small, chunk, set_bytes).join(sketched, _NODE)
     # of a record's leaves, those below this one can own its pairs
     deal = deal.withColumn("leaves", F.filter("leaves", lambda x: x < F.col("leaf"))).repartition(n, *_KEYS).sortWithinPartitions(*_KEYS).select(*_KEYS, "mine", *_NODE, "low", "leaves")
     with batch_rows(spark, _ROWS):
