@@ -16,7 +16,8 @@ def normalised(column: str) -> Column:
     """The vector over its length, as doubles; a zero vector stays zero."""
     x = F.transform(column, lambda v: v.cast("double"))
     size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
-    return F.transform(x, lambda v: F.when(size > 0, v / size).otherwise(F.lit(0.0)))
+    over = lambda s: F.transform(x, lambda v: F.when(s > 0, v / s).otherwise(F.lit(0.0)))
+    return F.element_at(F.transform(F.array(size), over), 1)  # the length is bound once, not taken again for each element
 
 
 def hyperplane_bits(rows: DataFrame, columns: list[str], planes: int, seed: int, wanted: list[int]) -> DataFrame:
@@ -71,9 +72,10 @@ def cosine_pairs(u: DataFrame, v: DataFrame, threshold: float, columns: list[str
     def cut(rows: DataFrame, own: str, other: str, mine: DataFrame, theirs: DataFrame) -> DataFrame:
         n = lambda t: t.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / chunk)).alias("k"))
         here, there = n(mine).withColumnRenamed("k", "k0"), n(theirs).withColumnRenamed("k", "k1")
-        sized = rows.join(here, keys).join(there, keys) if keys else rows.crossJoin(here).crossJoin(there)
+        unit = rows.select(*keys, "nid", *(normalised(c).alias(f"c{i}") for i, c in enumerate(columns)))  # before rows are copied
+        sized = unit.join(here, keys).join(there, keys) if keys else unit.crossJoin(here).crossJoin(there)
         slim = sized.withColumn(own, F.pmod(F.xxhash64("nid"), F.col("k0"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("k1") - 1)))
-        return slim.select(*keys, "ci", "cj", "nid", *(normalised(c).alias(f"c{i}") for i, c in enumerate(columns)))
+        return slim.select(*keys, "ci", "cj", "nid", *(f"c{i}" for i in range(len(columns))))
 
     left, right = cut(u, "ci", "cj", u, v), cut(v, "cj", "ci", v, u)
     right = right.toDF(*right.columns)  # new attributes: both sides may come from one table

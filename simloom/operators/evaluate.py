@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 DEFAULT_K = (10, 50, 100, 500, 1000)
 
 
+def class_truth(matches: DataFrame, u_classes: DataFrame, v_classes: DataFrame) -> DataFrame:
+    """(u_key, v_key) of the matches whose nodes are of one class, from (u_key, class) and (v_key, class).
+
+    A truth by classes is not listed as pairs, of which a class of n nodes on either side has n squared.
+    """
+    u, v = u_classes.withColumnRenamed("class", "u_class"), v_classes.withColumnRenamed("class", "v_class")
+    rows = matches.select("u_key", "v_key").distinct().join(u, "u_key").join(v, "v_key")
+    return rows.where("u_class = v_class").select("u_key", "v_key").distinct()
+
+
 def flagged(matches: DataFrame, truth: DataFrame) -> DataFrame:
     """matches (rank, u_key, v_key, ...) with is_true."""
     known = truth.select("u_key", "v_key").distinct().withColumn("is_true", F.lit(True))

@@ -352,22 +352,24 @@ def match_mwm(spark, sf):
     return _matched(matching.mwm(candidates.rescore(stored(candidates.cosine_pairs(*sides(spark, sf), 0.0).select("u", "v", "cos"))), 100))
 
 
-def _truth(spark, sf):
-    u, v = sides(spark, sf)
-    both = u.select(F.col("nid").alias("u"), "label").join(v.select(F.col("nid").alias("v"), "label"), "label")
-    return both.select(F.col("u").cast("string").alias("u_key"), F.col("v").cast("string").alias("v_key"))
+def _truth(spark, sf, matches: DataFrame) -> DataFrame:
+    """The true ones of the matches: both nodes have one label."""
+    u, v = (s.select(F.col("nid").cast("string").alias(key), F.col("label").alias("class")) for s, key in zip(sides(spark, sf), ("u_key", "v_key")))
+    return evaluate.class_truth(matches, u, v)
 
 
 def _named_matches(spark, sf):
-    return matching.shm(scored(spark, sf), 100).select("rank", F.col("u").cast("string").alias("u_key"), F.col("v").cast("string").alias("v_key"))
+    return stored(matching.shm(scored(spark, sf), 100).select("rank", F.col("u").cast("string").alias("u_key"), F.col("v").cast("string").alias("v_key")))
 
 
 def true_matches(spark, sf):
-    return evaluate.true_matches(_named_matches(spark, sf), _truth(spark, sf))
+    found = _named_matches(spark, sf)
+    return evaluate.true_matches(found, _truth(spark, sf, found))
 
 
 def precision_at_k(spark, sf):
-    out = evaluate.precision_at(_named_matches(spark, sf), _truth(spark, sf), KS)
+    found = _named_matches(spark, sf)
+    out = evaluate.precision_at(found, _truth(spark, sf, found), KS)
     return out.select(F.col("k").cast("long").alias("k"), F.col("tp").cast("long").alias("tp"), r("precision"))
 
 
@@ -416,7 +418,7 @@ TECHNIQUE_VALUES = {
 def result_sink(spark, sf):
     """Every column of two rows of the features' result table."""
     folder = _folder(spark)
-    row = results.result_row(precision_at_k(spark, sf), {"ks": KS} | SINK_VALUES, "features")
+    row = results.result_row(stored(precision_at_k(spark, sf)), {"ks": KS} | SINK_VALUES, "features")
     for _ in range(2):
         results.append(row, folder, "features_results")
     return results.read_results(spark, folder, "features_results")
