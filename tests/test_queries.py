@@ -79,3 +79,12 @@ def test_a_result_row_is_computed_once(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(q, "precision_at_k", lambda *_: counted(spark, f"{tmp_path}/calls"))
     assert [x.precision_1 for x in q.result_sink(spark, "").collect()] == [1.0, 1.0]
     assert (tmp_path / "calls").read_text() == "x\n"
+
+
+def test_result_rows_of_all_techniques_with_a_large_class(spark, monkeypatch):
+    side = lambda first: spark.range(first, first + 400_000, 2).select(F.col("id").alias("nid"), F.lit(7).alias("label"))
+    monkeypatch.setattr(q, "sides", lambda *_: (side(0), side(1)))
+    monkeypatch.setattr(q, "scored", lambda *_: spark.createDataFrame([(4, 5, 0.8), (6, 9, 0.7)], "u long, v long, score double"))
+    with within(spark, 60):
+        rows = {x.technique: (x.precision_1, x.precision_5) for x in q.result_sink_techniques(spark, "").collect()}
+    assert rows == {t: (1.0, 0.4) for t in q.TECHNIQUE_VALUES}
