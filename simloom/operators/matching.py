@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,85 +52,128 @@ def smm(pairs: DataFrame, k: int = 1000) -> DataFrame:
         left = rest
 
 
-def assign(weight: np.ndarray) -> list[int]:
-    """The column of each row in a largest total weight assignment (rows <= columns, -inf: no edge).
+def cover(n: int, m: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray, alone: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mate, a, b): the largest total weight in which each of n rows has a column of its own or, at a loss of `alone`, none.
 
-    Shortest augmenting paths with potentials. Raises if no assignment covers all rows.
+    Rows and columns meet in the given cells (i, j) only. mate is -1 for a row without a column. a and b
+    prove the optimum: weight <= -(a[i] + b[j]) in every cell, where b is 0 for columns without a row and
+    negative or 0 for others. Shortest augmenting paths, with memory in proportion to the cells.
     """
-    n, m = weight.shape
-    cost = np.where(np.isfinite(weight), -weight, np.inf)
-    u, v, match = np.zeros(n), np.zeros(m), np.full(m, -1)
-    for i in range(n):
-        dist, back, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
-        row, delta, col = i, 0.0, -1
+    order = np.lexsort((j, i))
+    cols, cost, start = j[order], -weight[order], np.searchsorted(i[order], np.arange(n + 1))
+    a, b = np.full(n, float(alone)), np.zeros(m)
+    np.minimum.at(a, i[order], cost)
+    mate, holder = np.full(n, -1), np.full(m, -1)
+    for row in range(n):  # a row's best column, where that is free
+        own = slice(start[row], start[row + 1])
+        if own.start < own.stop and holder[col := cols[own][np.argmin(cost[own])]] < 0:
+            mate[row], holder[col] = col, row
+    dist, back, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+    for first in np.flatnonzero(mate < 0):
+        row, delta, heap, path, seen, end, last = first, 0.0, [], [], [], np.inf, first
         while True:
-            new = delta + cost[row] - u[row] - v
-            better = ~done & (new < dist)
-            dist[better], back[better] = new[better], col
-            open_ = np.where(done, np.inf, dist)
-            col = int(np.argmin(open_))
-            if not np.isfinite(open_[col]):
-                raise ValueError("no assignment covers all rows")
-            done[col], delta = True, dist[col]
-            if match[col] < 0:
+            if (lone := delta + alone - a[row]) < end:
+                end, last = lone, row
+            own = slice(start[row], start[row + 1])
+            at = cols[own]
+            new = delta + cost[own] - a[row] - b[at]
+            better = (new < dist[at]) & (new < end) & ~done[at]
+            at, new = at[better], new[better]
+            dist[at], back[at] = new, row
+            seen.append(at)
+            for x in zip(new.tolist(), at.tolist()):
+                heapq.heappush(heap, x)
+            while heap and done[heap[0][1]]:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= end:
+                delta, col = end, -1
                 break
-            row = match[col]
-        u[i] += delta
-        for j in np.flatnonzero(done):
-            if j != col:
-                u[match[j]] += delta - dist[j]
-                v[j] += dist[j] - delta
+            delta, col = heapq.heappop(heap)
+            done[col] = True
+            if holder[col] < 0:
+                break
+            path.append(col)
+            row = holder[col]
+        a[first] += delta
+        if path:
+            a[holder[path]] += delta - dist[path]
+            b[path] += dist[path] - delta
+        if col < 0:
+            col, mate[last] = mate[last], -1
         while col >= 0:
-            before = back[col]
-            match[col] = i if before < 0 else match[before]
-            col = before
-    out = [-1] * n
-    for j, i in enumerate(match):
-        if i >= 0:
-            out[i] = j
-    return out
+            row = back[col]
+            holder[col], mate[row], col = row, col, mate[row]
+        for at in seen:
+            dist[at], back[at], done[at] = np.inf, -1, False
+    return mate, a, b
+
 
+def loss_of_none(nodes: int, width: float) -> float:
+    """More than any change of a whole matching's weight can make up for, where weights differ by `width` at most."""
+    return 2.0 * (nodes + 1) * (width + 1)
+
+
+def assign(weight: np.ndarray) -> list[int]:
+    """The column of each row in a largest total weight assignment (-inf: no edge). Raises if none covers all rows."""
+    i, j = np.nonzero(np.isfinite(weight))
+    w = weight[i, j]
+    mate = cover(*weight.shape, i, j, w, np.abs(w).max(initial=0) + loss_of_none(len(weight), np.ptp(w) if len(w) else 0))[0]
+    if (mate < 0).any():
+        raise ValueError("no assignment covers all rows")
+    return mate.tolist()
 
-#: Cells of the largest matrix that a task solves: 5,000 by 5,000 nodes, 200 MB and its like for costs.
-MOST_CELLS = 25_000_000
 
+#: Pairs of a node that a round of `mwm` takes up at most.
+PAIRS_A_ROUND = 40
 
-def mwm(pairs: DataFrame, k: int = 1000, most_cells: int = MOST_CELLS) -> DataFrame:
+
+def _best(rows: DataFrame, by: str, value: str, n: int) -> DataFrame:
+    other = "v" if by == "u" else "u"
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(F.col(value).desc(), other))).where(F.col("place") <= n).select("u", "v", "rounded")
+
+
+def mwm(pairs: DataFrame, k: int = 1000, a_round: int = PAIRS_A_ROUND) -> DataFrame:
     """The matching of largest total score that covers the whole smaller side; empty if there is none.
 
-    A matching of the whole is one of each component, so each is solved by itself, and one component
-    that can't cover its part of the smaller side leaves no match at all. A component is a matrix in one
-    task; one of more than `most_cells` cells is refused, as shortest augmenting paths would take days.
+    A core, first the best `a_round` pairs of each node, is solved, a component in a task. Its prices
+    (`cover`) then are held against all pairs: those that could raise the total, up to `a_round` of a
+    node, join the core for the next round. If there is none, the core's matching is the best of all pairs.
     """
-    rows = stored(_ranked(pairs))
-    nu, nv = rows.agg(F.countDistinct("u"), F.countDistinct("v")).first()
-    by_u = nu <= nv
-    ends = rows.select((F.col("u") * 2).alias("src"), (F.col("v") * 2 + 1).alias("dst"))
-    comps = components(ends).withColumnRenamed("nid", "src")
-    keyed = rows.withColumn("src", F.col("u") * 2).join(comps, "src").select("comp", "u", "v", "score", "rounded")
-
-    cells = keyed.groupBy("comp").agg((F.countDistinct("u") * F.countDistinct("v")).alias("cells")).agg(F.max("cells")).first()[0] or 0
-    if cells > most_cells:
-        raise ValueError(f"a component of {cells} cells is too large to assign; raise the threshold of candidates or match by shm or smm")
+    rows = stored(_ranked(pairs).select("u", "v", "score"))
+    ranked = rows.withColumn("rounded", F.round("score", 12))
+    nu, nv, most, least = ranked.agg(F.countDistinct("u"), F.countDistinct("v"), F.max("rounded"), F.min("rounded")).first()
+    if not nu:
+        return _top(ranked, k)
+    a, b = ("u", "v") if nu <= nv else ("v", "u")
+    alone = max(abs(most), abs(least)) + loss_of_none(min(nu, nv), most - least)
+    slack = 1e-10 + 8 * float(np.spacing(alone))
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = ("u", "v") if by_u else ("v", "u")
         x, i = np.unique(part[a], return_inverse=True)
         y, j = np.unique(part[b], return_inverse=True)
-        weight = np.full((len(x), len(y)), -np.inf)
-        weight[i, j] = part["rounded"]
-        try:
-            if len(x) > len(y):
-                raise ValueError
-            found = assign(weight)
-        except ValueError:
-            return pd.DataFrame({"u": [0], "v": [0], "feasible": [False]})
-        return pd.DataFrame({a: x, b: y[found], "feasible": True})[["u", "v", "feasible"]]
-
-    solved = stored(keyed.groupBy("comp").applyInPandas(solve, "u long, v long, feasible boolean"))
-    if not solved.where("not feasible").isEmpty():
-        return _top(rows.where(F.lit(False)), k)
-    return _top(rows.join(solved.select("u", "v"), ["u", "v"]), k)
+        mate, at, bt = cover(len(x), len(y), i, j, part["rounded"].to_numpy(), alone)
+        rows = pd.DataFrame({"node": x, "first": True, "price": at, "mate": pd.array(y[mate], "Int64")})
+        rows.loc[mate < 0, "mate"] = pd.NA
+        return pd.concat([rows, pd.DataFrame({"node": y, "first": False, "price": bt, "mate": pd.array([pd.NA] * len(y), "Int64")})])
+
+    core = stored(_best(ranked, "u", "rounded", a_round).unionAll(_best(ranked, "v", "rounded", a_round)).distinct())
+    while True:
+        comps = components(core.select((F.col("u") * 2).alias("src"), (F.col("v") * 2 + 1).alias("dst"))).withColumnRenamed("nid", "src")
+        keyed = core.withColumn("src", F.col("u") * 2).join(comps, "src").select("comp", "u", "v", "rounded")
+        solved = stored(keyed.groupBy("comp").applyInPandas(solve, "node long, first boolean, price double, mate long"))
+        prices = [solved.where(F.col("first") == (c == a)).select(F.col("node").alias(c), F.col("price").alias(f"price_{c}")) for c in ("u", "v")]
+        gain = F.col("rounded") + F.col("price_u") + F.col("price_v")
+        better = ranked.join(prices[0], "u").join(prices[1], "v").withColumn("gain", gain).where(F.col("gain") > slack)
+        more = stored(_best(better, a, "gain", a_round))
+        if more.isEmpty():
+            break
+        grown = stored(core.unionAll(more).distinct())
+        drop(core, solved, more)
+        core = grown
+    drop(core, more)
+    if not solved.where(F.col("first") & F.col("mate").isNull()).isEmpty():
+        return _top(ranked.where(F.lit(False)), k)
+    return _top(ranked.join(solved.where("first").select(F.col("node").alias(a), F.col("mate").alias(b)), ["u", "v"]), k)
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:

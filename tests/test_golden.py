@@ -126,6 +126,26 @@ def test_assignment_is_the_best_full_one():
             assert len(set(found)) == n and abs(sum(w[i, j] for i, j in enumerate(found)) - best) < 1e-9
 
 
+def test_a_component_of_any_size_is_matched(spark):
+    n = 5_100  # 26 million cells; v 0 has u 0 only, so that all go straight, against the better pairs
+    straight = spark.range(n).select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.5).alias("score"))
+    rows = straight.unionAll(spark.range(n - 1).select(F.col("id"), F.col("id") + 1, F.lit(0.9)))
+    assert [(x.u, x.v) for x in matching.mwm(rows, n).collect()] == [(i, i) for i in range(n)]
+
+
+def test_matching_takes_up_every_pair_that_can_raise_it(spark):
+    rng = random.Random(5)
+    for n, m, share in ((6, 6, 1.0), (7, 5, 0.9), (5, 7, 0.7), (6, 6, 0.35)):
+        w = {(i, j): round(rng.random(), 3) for i in range(n) for j in range(m) if rng.random() < share}
+        us, vs = ([*{x[k] for x in w}] for k in (0, 1))
+        small, large, at = (us, vs, lambda i, j: w.get((i, j), -math.inf)) if len(us) <= len(vs) else (vs, us, lambda j, i: w.get((i, j), -math.inf))
+        best = max(sum(at(*x) for x in zip(small, p)) for p in itertools.permutations(large, len(small)))
+        pairs = spark.createDataFrame([(*x, s) for x, s in w.items()], "u long, v long, score double")
+        found = matching.mwm(pairs, 100, a_round=1).collect()
+        assert len({x.u for x in found}) == len({x.v for x in found}) == len(found) == (0 if best == -math.inf else len(small))
+        assert not found or abs(sum(x.score for x in found) - best) < 1e-9
+
+
 def test_smm_has_no_blocking_pair(spark):
     rng = random.Random(2)
     rows = [(u, v, rng.randint(1, 5) / 5) for u in range(8) for v in range(8) if rng.random() < 0.5]
