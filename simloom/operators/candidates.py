@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simloom.operators.blocking import block_keys, choose_positions
+from simloom.scratch import stored
 
 
 def normalised(column: str) -> Column:
@@ -103,6 +104,10 @@ def candidate_pairs(u: DataFrame, v: DataFrame, threshold: float = 0.9, columns:
     return cosine_pairs(u, v, threshold, columns, weights)
 
 
+#: Sums of so many nodes of a side (24 bytes each) are broadcast at most.
+BROADCAST_NODES = 500_000
+
+
 def scaled(column: str, table: DataFrame) -> tuple[Column, Column]:
     return F.min(column).alias(f"{column}_low"), (F.max(column) - F.min(column)).alias(f"{column}_width")
 
@@ -117,8 +122,11 @@ def rescore(pairs: DataFrame, weights: tuple[float, float, float] = (0.6, 0.3, 0
     total = sum(weights)
     if abs(total - 1) > 1e-9:
         weights = tuple(w / total for w in weights)
-    per = lambda c, n: pairs.groupBy(c).agg(F.sum("cos").alias(f"s{n}"), F.count("*").alias(f"c{n}"))
-    rows = pairs.select("u", "v", "cos").join(per("u", "x"), "u").join(per("v", "y"), "v")
+    rows = pairs.select("u", "v", "cos")
+    for c, n in (("u", "x"), ("v", "y")):
+        sums = stored(pairs.groupBy(c).agg(F.sum("cos").alias(f"s{n}"), F.count("*").alias(f"c{n}")))
+        small = sums.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+        rows = rows.join(F.broadcast(sums) if small else sums, c)  # else pairs are dealt and sorted by either node
     others = F.col("sx") + F.col("sy") - 2 * F.col("cos")
     n = F.col("cx") + F.col("cy")
     conf = F.when(n <= 2, F.lit(1.5)).otherwise(F.coalesce(F.try_divide(F.col("cos") * (n - 2), others), F.lit(1.5)))

@@ -23,15 +23,15 @@ def _ranked(pairs: DataFrame) -> DataFrame:
 
 
 def _mutual(pairs: DataFrame) -> DataFrame:
-    """Pairs that are the best of either node, by two aggregates rather than windows over whole nodes."""
-    best = lambda c: pairs.groupBy(c).agg(F.max_by(F.struct("u", "v"), F.struct("rounded", -F.col("u"), -F.col("v"))).alias(f"best_{c}"))
-    me = F.struct("u", "v")
-    return pairs.join(best("u"), "u").join(best("v"), "v").where((F.col("best_u") == me) & (F.col("best_v") == me)).select(*pairs.columns)
+    """Pairs that are the best of either node: those that both tables of best pairs, by u and by v, hold."""
+    whole, order = F.struct(*pairs.columns), F.struct("rounded", -F.col("u"), -F.col("v"))
+    best_u, best_v = (pairs.groupBy(F.col(c).alias("of")).agg(F.max_by(whole, order).alias("best")).select("best.*") for c in ("u", "v"))
+    return best_u.join(best_v.select("u", "v"), ["u", "v"]).select(*pairs.columns)
 
 
 def shm(pairs: DataFrame, k: int = 1000) -> DataFrame:
     """Symmetric highest match: pairs that are best for both of their nodes."""
-    return _top(_mutual(_ranked(pairs)), k)
+    return _top(_mutual(_ranked(pairs.select("u", "v", "score"))), k)
 
 
 def smm(pairs: DataFrame, k: int = 1000) -> DataFrame:

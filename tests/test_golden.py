@@ -99,6 +99,17 @@ def test_rescoring(spark):
     assert candidates.rescore(alone, strict=True).first().score is None
 
 
+def test_rescoring_is_the_same_whether_sums_are_broadcast(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = spark.createDataFrame([(i, j, rng.random()) for i in range(20) for j in range(20) if rng.random() < 0.4], "u long, v long, cos double")
+    found = []
+    for limit in (500_000, 0):
+        monkeypatch.setattr(candidates, "BROADCAST_NODES", limit)
+        rows = candidates.rescore(pairs)
+        found.append((sorted((x.u, x.v, round(x.score, 9)) for x in rows.collect()), [(x.u, x.v) for x in matching.shm(rows).collect()]))
+    assert found[0] == found[1] and len(found[0][0]) == pairs.count() and found[0][1]
+
+
 def match(spark, rows, how):
     return sorted((x.u, x.v) for x in matching.match(spark.createDataFrame(rows, "u long, v long, score double"), how).collect())
 
