@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm._common import doc_key, partitions_for, pieces, scratch_folder, whole_text
+from simloom.llm._common import batch_rows, doc_key, partitions_for, pieces, scratch_folder, whole_text
 
 MAGIC = b"SLT1"
 _HEAD = struct.Struct("<4sIQII")
@@ -168,7 +168,7 @@ _PIECE = re.compile(rf"{_ONE}| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE
 #: A piece that the pattern leaves whole, so that the merges can be asked for directly.
 _WHOLE = re.compile(rf" ?(?:[{_LETTER}]+|[{_MARK}]+)")
 _BLANK_EDGE = re.compile(rf"\A[{_SPACE}]|[{_SPACE}]\Z")
-_WORD_ENTRIES, _PIECE_ENTRIES, _CACHE_CHARS = 500_000, 1_200_000, 40
+_WORD_ENTRIES, _PIECE_ENTRIES, _CACHE_CHARS = 800_000, 300_000, 40
 
 
 class _Unsafe(Exception):
@@ -176,7 +176,7 @@ class _Unsafe(Exception):
 
 
 class _Pieces(dict):
-    """Encoded pieces; a new one is encoded when it is first asked for. Long ones aren't kept."""
+    """Encoded pieces; a new one is encoded when it is first asked for. Long ones aren't kept, nor those that _Words keeps."""
 
     def __init__(self, tokenizer):
         super().__init__()
@@ -187,12 +187,15 @@ class _Pieces(dict):
         high = {x: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(x))[0][0] for x in range(0xC0, 0x100)}
         self.table = {ord(x): y for x, y in shown.items()} | high
 
-    def __missing__(self, piece: str) -> bytes:
-        if _WHOLE.fullmatch(piece):
+    def encoded(self, piece: str, whole: bool) -> bytes:
+        if whole:
             ids = [x.id for x in self.merge(piece.translate(self.table))]
         else:
             ids = self.encode(piece, add_special_tokens=False).ids
-        data = struct.pack(f"<{len(ids)}I", *ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, piece: str) -> bytes:
+        data = self.encoded(piece, bool(_WHOLE.fullmatch(piece)))
         if len(piece) <= _CACHE_CHARS:
             if len(self) >= _PIECE_ENTRIES:
                 self.clear()
@@ -211,7 +214,7 @@ class _Words(dict):
         if not word or _BLANK_EDGE.search(word):
             raise _Unsafe
         spaced = " " + word
-        data = self.parts[spaced] if _WHOLE.fullmatch(word) else b"".join(map(self.parts.__getitem__, _PIECE.findall(spaced)))
+        data = self.parts.get(spaced) or self.parts.encoded(spaced, True) if _WHOLE.fullmatch(word) else b"".join(map(self.parts.__getitem__, _PIECE.findall(spaced)))
         if len(word) <= _CACHE_CHARS:
             if len(self) >= _WORD_ENTRIES:
                 self.clear()
@@ -320,7 +323,8 @@ def write_tokens(
         if ids:
             yield close()
 
-    dealt.mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(path)
+    with batch_rows(spark, 1024):
+        dealt.mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -20,14 +20,17 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm._common import batch_of, pieces, scope, stored
+from simloom.llm._common import batch_of, batch_rows, pieces, scope, stored
 
+#: Rows of an Arrow batch that hold texts, and words that a task counts before their counts leave it.
+_ROWS, _COUNTED = 1024, 100_000
 #: Lower-cases A-Z; every other byte below 0x80 but digits and letters is a gap.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -134,19 +137,20 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(dict(zip(words.tolist(), w.tolist())), float(b))
 
 
-def word_counts(rows: DataFrame, positive: frozenset[int]) -> DataFrame:
+def word_counts(rows: DataFrame, positive: frozenset[int], counted: int = _COUNTED) -> DataFrame:
     """(word, p, u): how many rows (doc_id, text) hold each word, of those with a positive id and of all.
 
-    Counts leave a task as a row for each word, early if there are many; the word None counts all rows.
+    Counts leave a task after `counted` words at most, a document's more, and meet in its partial aggregate; the word None counts all rows.
     """
     held = rows.sparkSession.sparkContext.broadcast(positive)
     schema = pa.schema([("word", pa.int64()), ("p", pa.int64()), ("u", pa.int64())])
 
-    def flush(p: Counter, u: Counter) -> pa.RecordBatch:
-        out = batch_of(schema, [(w, p.get(w, 0), n) for w, n in u.items()])
+    def flush(p: Counter, u: Counter) -> Iterator[pa.RecordBatch]:
+        every = iter(u.items())
+        while some := list(islice(every, 16_384)):
+            yield batch_of(schema, [(w, p.get(w, 0), n) for w, n in some])
         p.clear()
         u.clear()
-        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, u = Counter(), Counter()
@@ -156,9 +160,9 @@ def word_counts(rows: DataFrame, positive: frozenset[int]) -> DataFrame:
                 u.update(own)
                 if i in held.value:
                     p.update(own)
-            if len(u) > 500_000:
-                yield flush(p, u)
-        yield flush(p, u)
+                if len(u) > counted:
+                    yield from flush(p, u)
+        yield from flush(p, u)
 
     return rows.mapInArrow(run, "word long, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
@@ -202,7 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", most_ro
     sure_ids = known.where((F.col("toxic") == 1) & _below(min(1.0, most_rows / toxic))).select("doc_id")
     ids = frozenset(sure_ids.toArrow()["doc_id"].to_pylist())  # about most_rows at most
     with scope(spark):
-        counts = stored(word_counts(rows, ids))
+        with batch_rows(spark, _ROWS):
+            counts = stored(word_counts(rows, ids))
         total = counts.where("word IS NULL").first()
         if not total or not total.p:
             return fit([], [], 0.0)
@@ -210,8 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", most_ro
         best = counts.where(F.col("word").isNotNull() & (F.col("p") >= least)).select("word", z.alias("z")).where(F.col("z") >= sure).orderBy(F.desc("z"), "word").limit(features)
         chosen = np.sort(np.array(best.toArrow()["word"].to_pylist(), np.int64))
     held = F.broadcast(spark.createDataFrame([(x,) for x in sorted(ids)], "doc_id long"))
-    positive = _sample(rows.join(held, "doc_id", "left_semi"), chosen)
-    unlabelled = _sample(rows.where(_below(min(1.0, most_rows / total.u))), chosen)
+    with batch_rows(spark, _ROWS):
+        positive = _sample(rows.join(held, "doc_id", "left_semi"), chosen)
+        unlabelled = _sample(rows.where(_below(min(1.0, most_rows / total.u))), chosen)
     return fit(positive, unlabelled, prior if prior is not None else toxic / n, words=chosen)
 
 

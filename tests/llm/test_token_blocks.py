@@ -65,3 +65,12 @@ def test_nulls_ties_long_texts_and_empty_tables(spark, tmp_path):
     assert all(zlib.crc32(np.array(x.ids, "<u4").tobytes()) == x.ids_crc32 for x in got)
     write_tokens(docs.limit(0), str(tmp_path / "b"), VOCABULARY, 2)
     assert read_tokens(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_a_word_is_cached_once():
+    encoder = Encoder(VOCABULARY)
+    text = "first alpha beta alpha gamma, delta beta. alpha"
+    ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids
+    assert {"alpha", "beta", "delta"} <= set(encoder.words) and not {" alpha", " delta"} & set(encoder.parts)

@@ -110,3 +110,31 @@ def test_the_sample_is_bounded_by_ids(spark):
     rows, labels = corpus(300)
     docs = spark.createDataFrame(rows * 5, "doc_id long, text string, lang int")
     assert len(t._sample(docs.select("doc_id", "text"), np.array([], np.int64))) == 300
+
+
+def test_counts_leave_a_task_early(spark):
+    """A task holds few words, whatever its batches hold, and rows of counts go out in slices."""
+    rows = [(i, " ".join(f"w{(i * 37 + k) % 60_000}" for k in range(200))) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.word: (x.p, x.u) for x in t.word_counts(frame, frozenset(range(0, 2000, 3)), counted=500).collect()}
+    want = {}
+    for i, text in rows:
+        for w in [*t.word_ids(text), None]:
+            p, u = want.get(w, (0, 0))
+            want[w] = (p + (i % 3 == 0), u + 1)
+    assert found == want
+
+    class Plan:  # hands the task's function to this process
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            batch = t.pa.RecordBatch.from_arrays([t.pa.array([x[0] for x in rows]), t.pa.array([x[1] for x in rows])], names=["doc_id", "text"])
+            self.sizes = [x.num_rows for x in run(iter([batch]))]
+            return frame.selectExpr("1L AS word", "1L AS p", "1L AS u")
+
+    plan = Plan()
+    t.word_counts(plan, frozenset(), counted=500)
+    assert max(plan.sizes) <= 500 + 201
+    many = Plan()
+    t.word_counts(many, frozenset(), counted=10**9)
+    assert max(many.sizes) <= 16_384 < sum(many.sizes)
