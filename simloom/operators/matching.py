@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simloom.operators.graph import components
+from simloom.operators.scoredpairs import ScoredPairs
 from simloom.scratch import drop, scratch_folder, stored
 
 
@@ -70,15 +72,17 @@ def cover(n: int, m: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray, alon
             mate[row], holder[col] = col, row
     dist, back, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
     for first in np.flatnonzero(mate < 0):
-        row, delta, heap, path, seen, end, last = first, 0.0, [], [], [], np.inf, first
+        row, delta, heap, path, seen, end, free, last = first, 0.0, [], [], [], np.inf, np.inf, first
         while True:
             if (lone := delta + alone - a[row]) < end:
                 end, last = lone, row
             own = slice(start[row], start[row + 1])
             at = cols[own]
             new = delta + cost[own] - a[row] - b[at]
-            better = (new < dist[at]) & (new < end) & ~done[at]
+            better = (new < dist[at]) & (new < min(end, free)) & ~done[at]
             at, new = at[better], new[better]
+            free = min(free, new[holder[at] < 0].min(initial=np.inf))  # the search ends there: what is farther isn't needed
+            at, new = at[new <= free], new[new <= free]
             dist[at], back[at] = new, row
             seen.append(at)
             for x in zip(new.tolist(), at.tolist()):
@@ -128,22 +132,39 @@ PAIRS_A_ROUND = 40
 
 
 def _best(rows: DataFrame, by: str, value: str, n: int) -> DataFrame:
-    other = "v" if by == "u" else "u"
-    return rows.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(F.col(value).desc(), other))).where(F.col("place") <= n).select("u", "v", "rounded")
+    """The n best pairs of each node; by a hash among equal ones, so that copies of a node don't all meet the same few."""
+    order = W.partitionBy(by).orderBy(F.col(value).desc(), F.xxhash64("u", "v"), "u", "v")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("u", "v", "score")
 
 
-def mwm(pairs: DataFrame, k: int = 1000, a_round: int = PAIRS_A_ROUND) -> DataFrame:
+class _Listed:
+    """A table of pairs (u, v, score), as ScoredPairs says it of pairs that no table holds."""
+
+    def __init__(self, pairs: DataFrame):
+        self.spark, self.rows = pairs.sparkSession, stored(_ranked(pairs).select("u", "v", "score"))
+
+    def bounds(self) -> tuple[int, int, float, float]:
+        nu, nv, most, least = self.rows.agg(F.countDistinct("u"), F.countDistinct("v"), F.max("score"), F.min("score")).first()
+        return nu, nv, most or 0.0, least or 0.0
+
+    def best(self, by: str, k: int, prices: dict[str, DataFrame] | None = None, floor: float = -np.inf) -> DataFrame:
+        value, rows = F.round("score", 12), self.rows
+        for c, table in (prices or {}).items():
+            rows, value = rows.join(table.toDF(c, f"price_{c}"), c), value + F.col(f"price_{c}")
+        return rows.withColumn("value", value).where(F.col("value") > floor)
+
+
+def mwm(pairs: DataFrame | ScoredPairs, k: int = 1000, a_round: int = PAIRS_A_ROUND) -> DataFrame:
     """The matching of largest total score that covers the whole smaller side; empty if there is none.
 
     A core, first the best `a_round` pairs of each node, is solved, a component in a task. Its prices
     (`cover`) then are held against all pairs: those that could raise the total, up to `a_round` of a
     node, join the core for the next round. If there is none, the core's matching is the best of all pairs.
     """
-    rows = stored(_ranked(pairs).select("u", "v", "score"))
-    ranked = rows.withColumn("rounded", F.round("score", 12))
-    nu, nv, most, least = ranked.agg(F.countDistinct("u"), F.countDistinct("v"), F.max("rounded"), F.min("rounded")).first()
+    rows = pairs if isinstance(pairs, ScoredPairs) else _Listed(pairs)
+    nu, nv, most, least = rows.bounds()
     if not nu:
-        return _top(ranked, k)
+        return _top(_ranked(rows.spark.createDataFrame([], "u long, v long, score double")), k)
     a, b = ("u", "v") if nu <= nv else ("v", "u")
     alone = max(abs(most), abs(least)) + loss_of_none(min(nu, nv), most - least)
     slack = 1e-10 + 8 * float(np.spacing(alone))
@@ -156,24 +177,25 @@ def mwm(pairs: DataFrame, k: int = 1000, a_round: int = PAIRS_A_ROUND) -> DataFr
         rows.loc[mate < 0, "mate"] = pd.NA
         return pd.concat([rows, pd.DataFrame({"node": y, "first": False, "price": bt, "mate": pd.array([pd.NA] * len(y), "Int64")})])
 
-    core = stored(_best(ranked, "u", "rounded", a_round).unionAll(_best(ranked, "v", "rounded", a_round)).distinct())
+    found = {c: rows.best(c, a_round) for c in ("u", "v")}
+    core = stored(reduce(DataFrame.unionByName, (_best(t, c, "value", a_round) for c, t in found.items())).dropDuplicates(["u", "v"]))
+    drop(*found.values())
     while True:
         comps = components(core.select((F.col("u") * 2).alias("src"), (F.col("v") * 2 + 1).alias("dst"))).withColumnRenamed("nid", "src")
-        keyed = core.withColumn("src", F.col("u") * 2).join(comps, "src").select("comp", "u", "v", "rounded")
+        keyed = _ranked(core).withColumn("src", F.col("u") * 2).join(comps, "src").select("comp", "u", "v", "rounded")
         solved = stored(keyed.groupBy("comp").applyInPandas(solve, "node long, first boolean, price double, mate long"))
-        prices = [solved.where(F.col("first") == (c == a)).select(F.col("node").alias(c), F.col("price").alias(f"price_{c}")) for c in ("u", "v")]
-        gain = F.col("rounded") + F.col("price_u") + F.col("price_v")
-        better = ranked.join(prices[0], "u").join(prices[1], "v").withColumn("gain", gain).where(F.col("gain") > slack)
-        more = stored(_best(better, a, "gain", a_round))
+        better = rows.best(a, a_round, {c: solved.where(F.col("first") == (c == a)).select("node", "price") for c in ("u", "v")}, slack)
+        more = stored(_best(better, a, "value", a_round))
+        drop(better)
         if more.isEmpty():
             break
-        grown = stored(core.unionAll(more).distinct())
+        grown = stored(core.unionByName(more).dropDuplicates(["u", "v"]))
         drop(core, solved, more)
         core = grown
-    drop(core, more)
+    drop(more)
     if not solved.where(F.col("first") & F.col("mate").isNull()).isEmpty():
-        return _top(ranked.where(F.lit(False)), k)
-    return _top(ranked.join(solved.where("first").select(F.col("node").alias(a), F.col("mate").alias(b)), ["u", "v"]), k)
+        return _top(_ranked(core.where(F.lit(False))), k)
+    return _top(_ranked(core.join(solved.where("first").select(F.col("node").alias(a), F.col("mate").alias(b)), ["u", "v"])), k)
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from simloom.functions import bloom, text
 from simloom.functions.murmur import murmur3
-from simloom.operators import blocking, candidates, evaluate, graph, graphwave, matching, neural, prepare, scaling, simjoin
+from simloom.operators import blocking, candidates, evaluate, graph, graphwave, matching, neural, prepare, scaling, scoredpairs, simjoin
 from simloom.plans import pipeline
 from simloom.plans.settings import Settings
 from simloom.scratch import shared_folder, stored
@@ -349,7 +349,7 @@ def match_smm(spark, sf):
 
 def match_mwm(spark, sf):
     # a lower threshold, so that a matching of the whole smaller side exists
-    return _matched(matching.mwm(candidates.rescore(stored(candidates.cosine_pairs(*sides(spark, sf), 0.0).select("u", "v", "cos"))), 100))
+    return _matched(matching.mwm(scoredpairs.ScoredPairs(*sides(spark, sf), 0.0), 100))
 
 
 def _truth(spark, sf, matches: DataFrame) -> DataFrame:
