@@ -137,6 +137,25 @@ def test_assignment_is_the_best_full_one():
             assert len(set(found)) == n and abs(sum(w[i, j] for i, j in enumerate(found)) - best) < 1e-9
 
 
+def test_a_cover_goes_on_from_one_of_fewer_cells():
+    rng = np.random.default_rng(3)
+    for trial in range(400):
+        n, m = rng.integers(1, 9, 2)
+        w = np.where(rng.random((n, m)) < rng.choice([0.3, 0.6, 1.0]), np.round(rng.random((n, m)), rng.integers(1, 4)), -np.inf)
+        alone, known = matching.loss_of_none(int(n), 1.0) if trial % 2 else 0.3, None
+        for share in (0.3, 0.6, 1.0):
+            i, j = np.nonzero(np.isfinite(w) & (rng.random((n, m)) < share) if share < 1 else np.isfinite(w))
+            if known:
+                i, j = np.array(sorted({*zip(i.tolist(), j.tolist())} | cells), int).reshape(-1, 2).T
+            cells = {*zip(i.tolist(), j.tolist())}
+            mate, a, b = known = matching.cover(n, m, i, j, w[i, j], alone, known)
+            cold = matching.cover(n, m, i, j, w[i, j], alone)[0]
+            total = lambda mate: sum(-alone if y < 0 else w[x, y] for x, y in enumerate(mate))
+            assert abs(total(mate) - total(cold)) < 1e-9 and len({*mate[mate >= 0].tolist()}) == (mate >= 0).sum()
+            assert all(a[x] + b[y] <= -w[x, y] + 1e-9 for x, y in cells) and (b <= 1e-9).all() and (a <= alone + 1e-9).all()
+            assert abs(a.sum() + b.sum() + total(mate)) < 1e-8  # the prices prove the total
+
+
 def test_a_component_of_any_size_is_matched(spark):
     n = 5_100  # 26 million cells; v 0 has u 0 only, so that all go straight, against the better pairs
     straight = spark.range(n).select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.5).alias("score"))
